@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave.llm.mixing import mix_sources
+from labelweave.llm.record_files import read_records, write_records
 from labelweave.llm.sharding import content_key, shard_records, text_size
+from labelweave.llm.token_counts import token_counts
 
 SHARDS = 16
 
@@ -27,8 +30,18 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_records(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_records(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sampled_splitters, op3_pfair_mixing)}
+    return {f.__name__: f for f in (op2_sampled_splitters, op3_pfair_mixing, op5_token_counts, op8_binary_records)}
 
 
 def oracle_sql() -> dict[str, str]:
