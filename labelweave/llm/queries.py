@@ -10,6 +10,7 @@ from labelweave.llm.mixing import mix_sources
 from labelweave.llm.record_files import read_records, write_records
 from labelweave.llm.sharding import content_key, shard_records, text_size
 from labelweave.llm.token_counts import token_counts
+from labelweave.llm.vector_search import top_k
 
 SHARDS = 16
 
@@ -35,14 +36,31 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_records(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_records(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sampled_splitters, op3_pfair_mixing, op5_token_counts, op8_binary_records)}
+    return {f.__name__: f for f in (op2_sampled_splitters, op3_pfair_mixing, op5_token_counts, op6_exact_top_k, op8_binary_records)}
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_top_k": OP6_SQL}
