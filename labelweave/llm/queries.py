@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelweave.llm.language_id import identify, page_evidence, page_text
 from labelweave.llm.mixing import mix_sources
 from labelweave.llm.record_files import read_records, write_records
 from labelweave.llm.sharding import content_key, shard_records, text_size
@@ -45,8 +46,21 @@ def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: a document's source counts as its host; they have no address."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    out = identify(docs, declared=F.col("lang"), host=F.col("source"))
+    return out.select("doc_id", "lang", "lang_id", "lang_p", "lang_ok")
+
+
+def llm_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with all its evidence: pages, with the language in their markup, their address and host."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("text", page_text())
+    return identify(pages, **page_evidence()).select("page_id", "lang_id", "lang_p", "lang_ok")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sampled_splitters, op3_pfair_mixing, op5_token_counts, op6_exact_top_k, op8_binary_records)}
+    return {f.__name__: f for f in (op2_sampled_splitters, op3_pfair_mixing, op5_token_counts, op6_exact_top_k, op8_binary_records, op9_language_id, llm_page_language)}
 
 
 OP6_SQL = """
