@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelweave.llm.bag_minhash import near_duplicates
 from labelweave.llm.language_id import identify, page_evidence, page_text
 from labelweave.llm.mixing import mix_sources
 from labelweave.llm.record_files import read_records, write_records
@@ -59,8 +60,12 @@ def llm_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(pages, **page_evidence()).select("page_id", "lang_id", "lang_p", "lang_ok")
 
 
+def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "class_size", "keep")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sampled_splitters, op3_pfair_mixing, op5_token_counts, op6_exact_top_k, op8_binary_records, op9_language_id, llm_page_language)}
+    return {f.__name__: f for f in (op2_sampled_splitters, op3_pfair_mixing, op5_token_counts, op6_exact_top_k, op8_binary_records, op9_language_id, op10_bag_minhash, llm_page_language)}
 
 
 OP6_SQL = """
