@@ -19,12 +19,16 @@ from pyspark.sql import functions as F
 from labelweave.llm.common import staged
 from labelweave.llm.components import components
 
-#: Buckets up to which a table of them is broadcast.
-BROADCAST_BUCKETS = 150_000
+#: Buckets, and ids of candidates, up to which a table of them is broadcast.
+BROADCAST_BUCKETS, BROADCAST_IDS = 150_000, 500_000
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: Callable[[list[str], list[str]], np.ndarray], least: float) -> DataFrame:
     """(a, b, d): 1 - similarity of each pair (a, b), from the texts (id, text) of both, those of `least` or more marked by ok."""
+    pairs = staged(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    few = ids.count() <= BROADCAST_IDS
+    texts = staged(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "pair-texts")
     met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from labelweave.llm.bag_minhash import near_duplicates
 from labelweave.llm.language_id import identify, page_evidence, page_text
+from labelweave.llm.line_dedup import dedup_lines
 from labelweave.llm.mixing import mix_sources
 from labelweave.llm.record_files import read_records, write_records
 from labelweave.llm.sharding import content_key, shard_records, text_size
@@ -21,6 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "dropped_lines")
+
+
 def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     docs = docs.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), text_size().alias("n"), content_key().alias("content"))
@@ -65,7 +70,7 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sampled_splitters, op3_pfair_mixing, op5_token_counts, op6_exact_top_k, op8_binary_records, op9_language_id, op10_bag_minhash, llm_page_language)}
+    return {f.__name__: f for f in (op1_fuzzy_lines, op2_sampled_splitters, op3_pfair_mixing, op5_token_counts, op6_exact_top_k, op8_binary_records, op9_language_id, op10_bag_minhash, llm_page_language)}
 
 
 OP6_SQL = """
