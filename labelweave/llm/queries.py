@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave.llm.bag_minhash import near_duplicates
+from labelweave.llm.decontamination import decontaminate
 from labelweave.llm.language_id import identify, page_evidence, page_text
 from labelweave.llm.line_dedup import dedup_lines
 from labelweave.llm.mixing import mix_sources
@@ -38,6 +39,11 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "contaminated", "item_id", "score", "n_items")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -70,7 +76,7 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fuzzy_lines, op2_sampled_splitters, op3_pfair_mixing, op5_token_counts, op6_exact_top_k, op8_binary_records, op9_language_id, op10_bag_minhash, llm_page_language)}
+    return {f.__name__: f for f in (op1_fuzzy_lines, op2_sampled_splitters, op3_pfair_mixing, op4_decontamination, op5_token_counts, op6_exact_top_k, op8_binary_records, op9_language_id, op10_bag_minhash, llm_page_language)}
 
 
 OP6_SQL = """
