@@ -13,6 +13,7 @@ from labelweave.llm.line_dedup import dedup_lines
 from labelweave.llm.mixing import mix_sources
 from labelweave.llm.record_files import read_records, write_records
 from labelweave.llm.sharding import content_key, shard_records, text_size
+from labelweave.llm.suffix_dedup import dedup_substrings
 from labelweave.llm.token_counts import token_counts
 from labelweave.llm.vector_search import top_k
 
@@ -53,6 +54,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_records(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_records(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -76,7 +81,7 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fuzzy_lines, op2_sampled_splitters, op3_pfair_mixing, op4_decontamination, op5_token_counts, op6_exact_top_k, op8_binary_records, op9_language_id, op10_bag_minhash, llm_page_language)}
+    return {f.__name__: f for f in (op1_fuzzy_lines, op2_sampled_splitters, op3_pfair_mixing, op4_decontamination, op5_token_counts, op6_exact_top_k, op7_suffix_dedup, op8_binary_records, op9_language_id, op10_bag_minhash, llm_page_language)}
 
 
 OP6_SQL = """
