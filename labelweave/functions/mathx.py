@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), x))
+    """x within [low, high]; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), x)))
 
 
 def sigmoid(x: Column) -> Column:

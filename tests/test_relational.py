@@ -4,7 +4,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from labelweave.plans import relational
+from labelweave.plans import relational, relational_more
+
+QUERIES, SQL = relational.QUERIES | relational_more.QUERIES, relational.SQL | relational_more.SQL
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +30,6 @@ def _rows(df):
     return sorted(repr(tuple(map(_plain, r))) for r in df.itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", list(relational.SQL))
+@pytest.mark.parametrize("name", list(SQL))
 def test_query_is_its_sql(spark, sf, db, name):
-    assert _rows(relational.QUERIES[name](spark, sf).toPandas()) == _rows(db.execute(relational.SQL[name]).df())
+    assert _rows(QUERIES[name](spark, sf).toPandas()) == _rows(db.execute(SQL[name]).df())
