@@ -33,14 +33,14 @@ _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Bytes of a document that are looked at in one go.
 SEGMENT = 1 << 20
 #: Positions that a task gathers before it sends them on.
-FLUSH = 3_000_000
+FLUSH = 500_000
 _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(SEGMENT + 512, base, np.uint64)
+            p = np.full(2 * SEGMENT + 1024, base, np.uint64)
             p[0] = 1
             _POWERS[name] = np.multiply.accumulate(p)
     return _POWERS["up"], _POWERS["down"]
@@ -61,9 +61,12 @@ def _sliding(a: np.ndarray, width: int, least) -> np.ndarray:
 
 
 class Stretches:
-    """Of one segment of a text: ranks of half-length strings, and the stretches of starts that share their least rank."""
+    """Of pieces of texts, one after another: ranks of half-length strings, and the stretches of starts that share their least rank.
 
-    def __init__(self, data: np.ndarray, threshold: int) -> None:
+    starts and ends: where each piece begins and ends in data; no string runs over an end.
+    """
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int) -> None:
         self.t, self.half = threshold, threshold // 2
         up, self.down = _powers()
         self.sums = np.zeros(len(data) + 1, np.uint64)
@@ -71,8 +74,12 @@ class Stretches:
         self.rank = _mixed(self._of(np.arange(len(data) - self.half + 1), self.half))
         w = threshold - self.half + 1
         low = _sliding(self.rank, w, np.minimum)
-        edge = np.zeros(w - 1, np.uint64)
-        at = np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), w, np.maximum) == self.rank)
+        edge = np.zeros(len(data) + 1, np.int32)  # starts of whole strings
+        edge[starts] += 1
+        edge[ends - threshold + 1] -= 1
+        low[np.cumsum(edge[: len(low)]) == 0] = 0
+        rim = np.zeros(w - 1, np.uint64)
+        at = np.flatnonzero(_sliding(np.concatenate([rim, low, rim]), w, np.maximum) == self.rank)
         h = self.rank[at]
         # from the nearest place to the left with no greater rank to the nearest to the right with a lesser one
         left, right = at - w, at + w
@@ -84,55 +91,73 @@ class Stretches:
             left[i] = np.maximum(left[i], at[i - t])
             i = np.flatnonzero(near & (h[t:] < h[:-t]))
             right[i] = np.minimum(right[i], at[i + t])
-        first = np.maximum(np.maximum(left + 1, at - w + 1), 0)
-        last = np.minimum(np.minimum(right - w, at), len(data) - threshold)
+        piece = np.searchsorted(starts, at, "right") - 1
+        first = np.maximum(np.maximum(left + 1, at - w + 1), starts[piece])
+        last = np.minimum(np.minimum(right - w, at), ends[piece] - threshold)
         held = first <= last
-        self.at, self.first, self.last = at[held], first[held], last[held]
+        self.at, self.first, self.last, self.piece = at[held], first[held], last[held], piece[held]
 
     def _of(self, start: np.ndarray, size) -> np.ndarray:
         return (self.sums[start + size] - self.sums[start]) * self.down[start]
 
-    def half_ranks(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.rank[self.at], np.zeros(len(self.at), np.uint32)
+    def half_ranks(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.rank[self.at[i]], np.zeros(len(i), np.uint32)
 
-    def whole_ranks(self) -> tuple[np.ndarray, np.ndarray]:
-        size = self.last + self.t - self.first
-        ends = self.rank[self.first] + self.rank[self.last + self.t - self.half] * _M2 + size.astype(np.uint64)
-        return _mixed(self._of(self.first, size) + size.astype(np.uint64)), (ends >> np.uint64(32)).astype(np.uint32)
+    def whole_ranks(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, last = self.first[i], self.last[i]
+        size = last + self.t - first
+        ends = self.rank[first] + self.rank[last + self.t - self.half] * _M2 + size.astype(np.uint64)
+        return _mixed(self._of(first, size) + size.astype(np.uint64)), (ends >> np.uint64(32)).astype(np.uint32)
 
     def pair_ranks(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.rank[start], self.rank[start + self.t - self.half]
         return _mixed(a * _M2 + b), (b >> np.uint64(20)).astype(np.uint32)
 
 
-def _segments(text: bytes, threshold: int) -> Iterator[tuple[int, Stretches]]:
-    data = np.frombuffer(text, np.uint8)
-    for begin in range(0, max(0, len(data) - threshold + 1), SEGMENT):
-        yield begin, Stretches(data[begin : begin + SEGMENT + threshold - 1], threshold)
-
-
 def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """All numbers from first to last of each pair."""
     n = last - first + 1
     return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
-def entries(text: bytes, kind: str, chosen: np.ndarray | None, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, rank, more rank) of a text. Stretches go by the first start they stand for; chosen: those that are still in."""
-    out = []
-    for begin, s in _segments(text, threshold):
-        keep = np.arange(len(s.first)) if chosen is None else np.flatnonzero(np.isin(s.first + begin, chosen))
-        if kind == "pair":
-            start = _spread(s.first[keep], s.last[keep])
-            out.append((start + begin, *s.pair_ranks(start)))
-        elif kind == "starts":
-            out.append((_spread(s.first[keep], s.last[keep]) + begin, None, None))
+def _pieces(texts: list[bytes], threshold: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, begin, bytes) in groups of a segment's size or so; long texts fall into pieces that share all but one byte of a string."""
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        for begin in range(0, max(0, len(text) - threshold + 1), SEGMENT):
+            group.append((i, begin, text[begin : begin + SEGMENT + threshold - 1]))
+            size += len(group[-1][2])
+            if size >= SEGMENT:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def entries(texts: list[bytes], kind: str, chosen: list[np.ndarray] | None, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, place, rank, more rank) of texts, group by group. Stretches go by the first start they stand for; chosen: of each text those that are still in."""
+    for group in _pieces(texts, threshold):
+        sizes = np.array([len(x) for _, _, x in group])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        s = Stretches(np.frombuffer(b"".join(x for _, _, x in group), np.uint8), starts, ends, threshold)
+        keep = np.arange(len(s.first))
+        text, shift = np.array([i for i, _, _ in group]), np.array([b for _, b, _ in group]) - starts
+        if chosen is not None:
+            wanted = np.zeros(int(ends[-1]), bool)
+            for (i, begin, x), at in zip(group, starts):
+                c = chosen[i] - begin
+                wanted[at + c[(c >= 0) & (c < len(x))]] = True
+            keep = keep[wanted[s.first]]
+        piece = s.piece[keep]
+        if kind in ("pair", "starts"):
+            place = _spread(s.first[keep], s.last[keep])
+            piece = np.repeat(piece, s.last[keep] - s.first[keep] + 1)
+            ranks = s.pair_ranks(place) if kind == "pair" else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
         else:
-            a, b = s.half_ranks() if kind == "half" else s.whole_ranks()
-            out.append((s.first[keep] + begin, a[keep], b[keep]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    return tuple(np.concatenate(x) if x[0] is not None else None for x in zip(*out))
+            place = s.first[keep]
+            ranks = s.half_ranks(keep) if kind == "half" else s.whole_ranks(keep)
+        yield text[piece], place + shift[piece], *ranks
 
 
 def _groups(rank: np.ndarray, more: np.ndarray, doc: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +175,7 @@ def _groups(rank: np.ndarray, more: np.ndarray, doc: np.ndarray, known: np.ndarr
 
 
 SENT = "bucket int, settled boolean, docs binary, counts binary, places binary, ranks binary, mores binary, shared binary"
-BACK = "k long, settled boolean, first binary, later binary"
+BACK = "kb int, ks binary, n_first binary, n_later binary, first binary, later binary"
 
 
 def _send(kind: str, threshold: int, buckets: int, with_more: bool):
@@ -168,9 +193,7 @@ def _send(kind: str, threshold: int, buckets: int, with_more: bool):
     def flush(held: list, k: list, d: list) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        sizes = [len(x[0]) for x in held]
-        doc = np.repeat(np.arange(len(held)), sizes)
-        place, rank, more = (np.concatenate(x) for x in zip(*held))
+        doc, place, rank, more = (np.concatenate(x) for x in zip(*held))
         ks, ds = np.array(k, "<i8"), np.array(d, "<i8")
         if not len(place):
             return
@@ -188,16 +211,15 @@ def _send(kind: str, threshold: int, buckets: int, with_more: bool):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, k, d, n = [], [], [], 0
         for batch in batches:
-            chosen = batch.column(3) if batch.num_columns > 3 else None
-            for i in range(len(batch)):
-                text = batch.column(2)[i].as_py()
-                if text is None or len(text) < threshold:
-                    continue
-                mine = None if chosen is None else np.frombuffer(chosen[i].as_py(), "<u4").astype(np.int64)
-                held.append(entries(text, kind, mine, threshold))
-                k.append(batch.column(0)[i].as_py())
-                d.append(batch.column(1)[i].as_py())
-                n += len(held[-1][0])
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                mine = [np.frombuffer(x, "<u4").astype(np.int64) for x in part.column(3).to_pylist()] if part.num_columns > 3 else None
+                before = len(k)
+                k += part.column(0).to_pylist()
+                d += part.column(1).to_pylist()
+                for doc, place, rank, more in entries(part.column(2).to_pylist(), kind, mine, threshold):
+                    held.append((doc + before, place, rank, more))
+                    n += len(doc)
                 if n > FLUSH:
                     yield from flush(held, k, d)
                     held, k, d, n = [], [], [], 0
@@ -206,40 +228,70 @@ def _send(kind: str, threshold: int, buckets: int, with_more: bool):
     return send
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: all entries of a partition's ranks. Back to each document go its places: the first with a rank others have, and the later."""
-    parts: list[tuple] = []
-    for batch in batches:
-        for _, settled, docs, counts, places, ranks, mores, shared in zip(*(c.to_pylist() for c in batch.columns)):
-            who = np.frombuffer(docs, "<i8").reshape(-1, 2)
-            n = np.frombuffer(counts, "<u4")
-            place = np.frombuffer(places, "<u4")
-            if settled:
-                yield _returned(np.repeat(who[:, 0], n), place, np.zeros(len(place), bool), True)
-            else:
-                rank = np.frombuffer(ranks, "<u8" if len(ranks) == 8 * len(place) else "<u4")
-                parts.append((np.repeat(who[:, 0], n), np.repeat(who[:, 1], n), place, rank, np.frombuffer(mores, "<u4") if mores else np.zeros(len(place), np.uint32), np.unpackbits(np.frombuffer(shared, np.uint8), count=len(place)).astype(bool)))
-    if parts:
-        k, d, place, rank, more, known = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
-        is_first, shared = _groups(rank, more, d, known)
-        yield _returned(k[shared], place[shared], is_first[shared], False)
-
-
-def _returned(k: np.ndarray, place: np.ndarray, is_first: np.ndarray, settled: bool) -> pa.RecordBatch:
-    order = np.lexsort((place, k))
-    k, place, is_first = k[order], place[order], is_first[order]
-    cut = np.append(0, np.flatnonzero(np.diff(k)) + 1) if len(k) else np.zeros(0, np.int64)
-    end = np.append(cut[1:], len(k))
-    first = [place[a:b][is_first[a:b]].astype("<u4").tobytes() for a, b in zip(cut, end)]
-    later = [place[a:b][~is_first[a:b]].astype("<u4").tobytes() for a, b in zip(cut, end)]
-    return pa.RecordBatch.from_arrays([pa.array(k[cut], pa.int64()), pa.array([settled] * len(cut), pa.bool_()), pa.array(first, pa.binary()), pa.array(later, pa.binary())], ["k", "settled", "first", "later"])
-
-
-def _places(back: DataFrame, *columns: str) -> DataFrame:
+def _meet(buckets: int):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Reduce side: all entries of a partition's ranks. Back to each document go its places: the first with a rank others have, and the later."""
+        parts: list[tuple] = []
+        done: list[tuple] = []
+        for batch in batches:
+            for _, settled, docs, counts, places, ranks, mores, shared in zip(*(c.to_pylist() for c in batch.columns)):
+                who = np.frombuffer(docs, "<i8").reshape(-1, 2)
+                n = np.frombuffer(counts, "<u4")
+                place = np.frombuffer(places, "<u4")
+                if settled:
+                    done.append((np.repeat(who[:, 0], n), place, np.zeros(len(place), bool)))
+                else:
+                    rank = np.frombuffer(ranks, "<u8" if len(ranks) == 8 * len(place) else "<u4")
+                    parts.append((np.repeat(who[:, 0], n), np.repeat(who[:, 1], n), place, rank, np.frombuffer(mores, "<u4") if mores else np.zeros(len(place), np.uint32), np.unpackbits(np.frombuffer(shared, np.uint8), count=len(place)).astype(bool)))
+        if parts:
+            k, d, place, rank, more, known = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            is_first, shared = _groups(rank, more, d, known)
+            done.append((k[shared], place[shared], is_first[shared]))
+        if done:
+            yield from _returned(*(np.concatenate(x) for x in zip(*done)), buckets)
+
+    return meet
+
+
+def _returned(k: np.ndarray, place: np.ndarray, is_first: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Places packed by the partition that their documents' places meet in."""
+    kb = k % buckets
+    order = np.lexsort((place, k, kb))
+    for at in np.split(order, np.flatnonzero(np.diff(kb[order])) + 1):
+        if len(at):
+            ks, which = np.unique(k[at], return_inverse=True)
+            f = is_first[at]
+            sides = [(np.bincount(which[m], minlength=len(ks)).astype("<u4").tobytes(), place[at][m].astype("<u4").tobytes()) for m in (f, ~f)]
+            row = [[int(kb[at[0]])], [ks.astype("<i8").tobytes()], [sides[0][0]], [sides[1][0]], [sides[0][1]], [sides[1][1]]]
+            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *[pa.array(x, pa.binary()) for x in row[1:]]], ["kb", "ks", "n_first", "n_later", "first", "later"])
+
+
+def _gather(columns: tuple[str, ...]):
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ks, places = [], []
+        for batch in batches:
+            for own, n_first, n_later, first, later in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                for name, n, found in (("first", n_first, first), ("later", n_later, later)):
+                    if name in columns and found:
+                        ks.append(np.repeat(np.frombuffer(own, "<i8"), np.frombuffer(n, "<u4")))
+                        places.append(np.frombuffer(found, "<u4"))
+        if not ks:
+            return
+        k, place = np.concatenate(ks), np.concatenate(places)
+        order = np.lexsort((place, k))
+        k, place = k[order], place[order]
+        cut = np.append(0, np.flatnonzero(np.diff(k)) + 1)
+        end = np.append(cut[1:], len(k))
+        for i in range(0, len(cut), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(k[cut[i : i + 4096]], pa.int64()), pa.array([place[a:b].tobytes() for a, b in zip(cut[i : i + 4096], end[i : i + 4096])], pa.binary())], ["k", "places"])
+
+    return gather
+
+
+def _places(back: DataFrame, buckets: int, *columns: str) -> DataFrame:
     """(k, places): the places in these columns, put together by document."""
-    one = F.concat(*[F.col(c) for c in columns])
-    return back.where(F.octet_length(one) > 0).groupBy("k").agg(F.unhex(F.array_join(F.collect_list(F.hex(one)), "")).alias("places"))
+    return back.repartitionById(buckets, F.col("kb")).mapInArrow(_gather(columns), "k long, places binary")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,44 +302,51 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["k", "places"])
 
 
-def _unsettled(half: DataFrame, whole: DataFrame) -> DataFrame:
+def _unsettled(half: DataFrame, whole: DataFrame, buckets: int) -> DataFrame:
     """Stretches with a shared half rank, but for those that an earlier document has as a whole."""
-    every = _places(half, "first", "later")
-    gone = _places(whole, "later").withColumnRenamed("places", "gone")
+    every = _places(half, buckets, "first", "later")
+    gone = _places(whole, buckets, "later").withColumnRenamed("places", "gone")
     left = every.join(gone, "k", "left").select("k", "places", "gone").mapInArrow(_without, "k long, places binary")
     return left.where(F.octet_length("places") > 0)
 
 
-def _removal(threshold: int):
+def _removal(threshold: int, with_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k, text, copy, whole, single in zip(*(c.to_pylist() for c in batch.columns[:5])):
+            texts, copies = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            whole, single = ([np.frombuffer(x or b"", "<u4").astype(np.int64) for x in batch.column(c).to_pylist()] for c in (3, 4))
+            starts: list[list[np.ndarray]] = [[x] for x in single]
+            some = [i for i, x in enumerate(whole) if len(x) and not copies[i]]
+            for doc, place, _, _ in entries([texts[i] for i in some], "starts", [whole[i] for i in some], threshold):
+                cut = np.searchsorted(doc, np.unique(doc), "left")
+                for i, at in zip(doc[cut].tolist(), np.split(place, cut[1:])):
+                    starts[some[i]].append(at)
+            for text, copy, found in zip(texts, copies, starts):
                 n = len(text)
                 if copy:  # an earlier document has the same text
                     rows.append((n, 1, b"") if n >= threshold else (0, 0, text))
                     continue
-                starts = [np.frombuffer(x, "<u4").astype(np.int64) for x in (single,) if x]
-                if whole:
-                    starts.append(entries(text, "starts", np.frombuffer(whole, "<u4").astype(np.int64), threshold)[0])
-                if not starts:
+                at = np.unique(np.concatenate(found))
+                if not len(at):
                     rows.append((0, 0, text))
                     continue
                 edge = np.zeros(n + 1, np.int64)
-                at = np.unique(np.concatenate(starts))
                 edge[at] += 1
                 edge[at + threshold] -= 1
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 rows.append((int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), kept))
             removed, spans, kept = zip(*rows) if rows else ((), (), ())
-            made = [pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(5), pa.array([len(t) for t in batch.column(1).to_pylist()], pa.int64()), *made], ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            made = [pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), *([pa.array(kept, pa.binary())] if with_text else [])]
+            names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            columns = [batch.column(5), pa.array([len(t) for t in texts], pa.int64()), *made]
+            yield pa.RecordBatch.from_arrays(columns[: 5 + with_text], names[: 5 + with_text])
 
     return remove
 
 
-def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: int = 50, bucket_bytes: int = 16 << 20, with_text: bool = False) -> DataFrame:
+def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: int = 50, bucket_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text kept_text as binary) of each row of df.
 
     Every byte is removed that lies in a string of `threshold` bytes (even, 16 or more) that also starts in a document with a
@@ -315,16 +374,16 @@ def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def step(kind: str, places: DataFrame | None, with_more: bool) -> DataFrame:
         rows = own.select("k", "d", "b") if places is None else table.join(places.hint("shuffle_merge"), "k").select("k", "d", "b", "places")
         sent = rows.mapInArrow(_send(kind, threshold, buckets, with_more), SENT)
-        return staged(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet, BACK), f"ranks-{kind}")
+        return staged(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(buckets), BACK), f"ranks-{kind}")
 
     half = step("half", None, False)
-    whole = step("whole", _places(half, "first", "later"), True)
-    again = step("half", _unsettled(half, whole), False)
-    pair = step("pair", _places(again, "first", "later"), True)
+    whole = step("whole", _places(half, buckets, "first", "later"), True)
+    again = step("half", _unsettled(half, whole, buckets), False)
+    pair = step("pair", _places(again, buckets, "first", "later"), True)
     result = (
         table.join(copies.withColumn("copy", F.lit(True)).hint("shuffle_merge"), "k", "left")
-        .join(_places(whole, "later").withColumnRenamed("places", "whole").hint("shuffle_merge"), "k", "left")
-        .join(_places(pair, "later").withColumnRenamed("places", "single").hint("shuffle_merge"), "k", "left")
+        .join(_places(whole, buckets, "later").withColumnRenamed("places", "whole").hint("shuffle_merge"), "k", "left")
+        .join(_places(pair, buckets, "later").withColumnRenamed("places", "single").hint("shuffle_merge"), "k", "left")
     )
-    out = result.select("k", "b", "copy", "whole", "single", F.struct("doc_id").alias("row")).mapInArrow(_removal(threshold), "row struct<doc_id:long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = result.select("k", "b", "copy", "whole", "single", F.struct("doc_id").alias("row")).mapInArrow(_removal(threshold, with_text), "row struct<doc_id:long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *([F.col("kept").alias("kept_text")] if with_text else []))
