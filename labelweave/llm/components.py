@@ -11,7 +11,6 @@ from labelweave.llm.common import staged
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large: every larger neighbour of u goes to the least of u and its neighbours. Small: so do u and its smaller ones."""
     e = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    e = staged(e, "star-edges")
     least = staged(e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "star-least")  # written, so that the join below can split a hub's edges
     met = e.join(least, "a")
     if large:

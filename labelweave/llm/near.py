@@ -1,8 +1,8 @@
 """Near-duplicate classes from signature bands: candidates, exact verification, components.
 
 Items with a band in common are candidates. Within a bucket every item is compared with the bucket's least, which gives
-most links; buckets whose items are then in one component are done. In the others, items of different components are
-compared with one another, but for pairs that the triangle inequality rules out: one minus a Jaccard similarity is a
+most links; buckets whose items are then in one component are done. In the others, items outside the largest component
+try some items of it; those that are still apart are compared with all of other components, but for pairs that the triangle inequality rules out: one minus a Jaccard similarity is a
 metric, so items whose distances from the bucket's least differ by more than the threshold's distance can't be linked.
 No candidate that could be a link is left out.
 """
@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import staged
+from labelweave.llm.common import free_shuffles, staged
 from labelweave.llm.components import components
 
 #: Buckets, and ids of candidates, up to which a table of them is broadcast.
 BROADCAST_BUCKETS, BROADCAST_IDS = 150_000, 500_000
+#: Rounds in which what is apart tries one item of the largest component of each bucket, before all is compared.
+ROUNDS = 2
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: Callable[[list[str], list[str]], np.ndarray], least: float) -> DataFrame:
@@ -41,44 +43,100 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Callable[[list[str]
     return met.select("a", "b", "ta", "tb").mapInArrow(score, "a long, b long, d double, ok boolean")
 
 
-def near_classes(items: DataFrame, texts: DataFrame, similarity: Callable[[list[str], list[str]], np.ndarray], least: float) -> DataFrame:
+def lonely_features(ids: DataFrame, texts: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(id, n, lonely): the weight of an item's features, and of those that no other of these items has."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                found = [features(t) for t in part.column(1).to_pylist()]
+                own = np.repeat(part.column(0).to_numpy(), [len(f[0]) for f in found])
+                h, w = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own), pa.array(w.astype(np.int64))], ["h", "id", "w"])
+
+    few = ids.count() <= BROADCAST_IDS
+    each = staged(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text").mapInArrow(spread, "h long, id long, w long"), "features")
+    alone = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.max("w").alias("w")).where("id = last")
+    lonely = alone.groupBy("id").agg(F.sum("w").alias("lonely"))
+    sizes = each.groupBy("id").agg(F.sum("w").alias("n"))
+    return staged(sizes.join(lonely, "id", "left").select("id", "n", F.coalesce("lonely", F.lit(0)).alias("lonely")), "lonely")
+
+
+def near_classes(items: DataFrame, texts: DataFrame, similarity: Callable[[list[str], list[str]], np.ndarray], least: float, features: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(id, root) of the items that have a near-duplicate, root the least id of the class.
 
-    items: id and bands, an array of longs, equal bands only in equal places; texts: id and text. Both must be tables
-    that give the same rows whenever they are read. Items without bands have no near-duplicates.
+    items: id and bands, an array of longs, equal bands only in equal places; texts: id and text. Both must be tables that
+    give the same rows whenever they are read. Items without bands have no near-duplicates. similarity: weighted Jaccard similarity of the features, given as hashes and weights by features.
     """
     spark = items.sparkSession
     bands = items.select("id", F.explode("bands").alias("key"))
     buckets = staged(bands.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("rep < last"), "buckets")
+    free_shuffles(spark)
     larger = buckets.where("n > 2").select("key", "rep")
     few = larger.count() <= BROADCAST_BUCKETS
     members = staged(bands.join(F.broadcast(larger) if few else larger, "key").select("key", "rep", "id"), "members")
     pairs = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).unionByName(buckets.where("n = 2").select(F.col("rep").alias("a"), F.col("last").alias("b"))).distinct()
     seen = staged(verified(pairs, texts, similarity, least), "verified")
-    links = seen.where("ok").select("a", "b")
-    roots = staged(components(links), "roots")
-    if not members.limit(1).count():
-        return roots
+    roots = staged(components(seen.where("ok").select("a", "b")), "roots")
+    known = None
+    for turn in range(ROUNDS):
+        placed, tops, known = _mixed_buckets(members, roots, texts, features, known, turn)
+        if tops is None:
+            return roots
+        # everything outside a bucket's largest component meets an item of it, its most typical one first
+        tries = placed.join(tops, "key").where("root <> top").select(F.least("id", "pick").alias("a"), F.greatest("id", "pick").alias("b")).distinct()
+        found = staged(verified(tries.join(seen.select("a", "b"), ["a", "b"], "left_anti"), texts, similarity, least), "verified")
+        seen = seen.unionByName(found)
+        roots = _merged(roots, found.where("ok").select("a", "b"))
 
-    # buckets of three or more whose items are not all in one component
-    placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = staged(placed, "placed")
-    mixed = staged(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "mixed")
-    if not mixed.limit(1).count():
+    # what is still apart meets all that the triangle inequality leaves, outside the largest component first
+    placed, tops, known = _mixed_buckets(members, roots, texts, features, known, ROUNDS)
+    if tops is None:
         return roots
-    small = mixed.count() <= BROADCAST_BUCKETS
-    open_items = placed.where("id <> rep").join(F.broadcast(mixed) if small else mixed, "key")
-    open_items = open_items.join(seen.select(F.col("a").alias("rep"), F.col("b").alias("id"), "d"), ["rep", "id"])
     span = 1.0 - least + 1e-9
+    apart = placed.join(tops.select("key", "top", "smallest"), "key").join(seen.select(F.col("a").alias("rep"), F.col("b").alias("id"), "d"), ["rep", "id"])
+    # no other item has more in common with this one than its features that aren't its alone: closed if that is too little
+    shared = F.col("n") - F.col("lonely")
+    most = shared / (F.col("n") + F.greatest("smallest", shared) - shared)
+    apart = apart.withColumn("closed", most < least - 1e-9)
     # cells of the distance to the bucket's least, as wide as the span: only equal or neighbouring cells can hold links
-    open_items = staged(open_items.select("key", "id", "root", "d", F.floor(F.col("d") / span).alias("cell")), "open-items")
-    left = open_items.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("d").alias("da"), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    right = open_items.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("d").alias("db"), "cell")
-    rest = left.join(right, ["key", "cell"]).where((F.col("ra") != F.col("rb")) & (F.abs(F.col("da") - F.col("db")) <= span) & (F.col("a") != F.col("b")))
+    apart = staged(apart.select("key", "id", "root", "top", "d", "closed", F.floor(F.col("d") / span).alias("cell")), "apart")
+    left = apart.where("root <> top and not closed").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("d").alias("da"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    right = apart.where("not closed").select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("d").alias("db"), "cell")
+    rest = left.join(right, ["key", "cell"]).where((F.col("ra") != F.col("rb")) & (F.abs(F.col("da") - F.col("db")) <= span))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    more = staged(verified(rest, texts, similarity, least).where("ok").select("a", "b"), "more-links")
-    if not more.limit(1).count():
+    more = staged(verified(rest.join(seen.select("a", "b"), ["a", "b"], "left_anti"), texts, similarity, least).where("ok").select("a", "b"), "more-links")
+    return _merged(roots, more)
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after more links: only roots that a link joins go through the components again."""
+    if not links.limit(1).count():
         return roots
-    joined = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return staged(components(joined), "roots")
+    a = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
+    between = components(a.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    between = staged(between.select(F.col("id").alias("root"), F.col("root").alias("new")), "root-moves")
+    moved = roots.join(between, "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+    fresh = between.select(F.col("root").alias("id"), F.col("new").alias("root")).join(roots.select("id"), "id", "left_anti")
+    return staged(moved.unionByName(fresh), "roots")
+
+
+def _mixed_buckets(members: DataFrame, roots: DataFrame, texts: DataFrame, features: Callable, known: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Members with root, n and lonely; of each bucket with several components the largest one (top), an item of it (pick) and its smallest item's n; and lonely features, found out once."""
+    placed = staged(members.join(roots, "id", "left").select("key", "rep", "id", F.coalesce("root", "id").alias("root")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    mixed = staged(mixed, "mixed")
+    few = mixed.count()
+    if not few:
+        return placed, None, known
+    mixed = F.broadcast(mixed) if few <= BROADCAST_BUCKETS else mixed
+    placed = placed.join(mixed, "key", "left_semi")
+    if known is None:
+        known = lonely_features(staged(placed.select("id").distinct(), "mixed-ids"), texts, features)
+    placed = staged(placed.join(known, "id"), "placed")
+    typical = F.when(F.lit(turn) == 0, F.col("lonely") / F.col("n")).otherwise(0.0)
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(typical.alias("t"), F.xxhash64("id", F.lit(turn), "key").alias("h"), "id")).alias("pick"), F.min("n").alias("smallest"))
+    tops = parts.groupBy("key").agg(F.max(F.struct("c", "root", F.col("pick.id").alias("pick"))).alias("t"), F.min("smallest").alias("smallest"))
+    tops = staged(tops.select("key", F.col("t.root").alias("top"), F.col("t.pick").alias("pick"), "smallest"), "tops")
+    return placed, F.broadcast(tops) if few <= BROADCAST_BUCKETS else tops, known
