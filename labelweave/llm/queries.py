@@ -84,6 +84,33 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_fuzzy_lines, op2_sampled_splitters, op3_pfair_mixing, op4_decontamination, op5_token_counts, op6_exact_top_k, op7_suffix_dedup, op8_binary_records, op9_language_id, op10_bag_minhash, llm_page_language)}
 
 
+def _nibble_table() -> list[int]:
+    """CRC-32 of four bits at a time."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = (c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1
+        out.append(c)
+    return out
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (
+  SELECT doc_id, t, strlen(t) + 1 AS size, ('0x' || substr(md5(t), 1, 15))::BIGINT AS k,
+    list_transform(string_split(hex(encode(t)), ''), lambda c: CAST(strpos('0123456789ABCDEF', c) - 1 AS BIGINT)) AS x
+  FROM d
+), c AS (
+  SELECT doc_id, CAST(size AS BIGINT) AS size, k, CASE WHEN t = '' THEN 0 ELSE xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(len(x)), lambda i: x[xor(i, 1) + 1])),
+    lambda a, b: xor(a >> 4, ({_nibble_table()}::BIGINT[])[(xor(a, b) & 15) + 1])), 4294967295::BIGINT) END AS text_crc32
+  FROM n
+), s AS (
+  SELECT *, sum(size) OVER (ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total, row_number() OVER (ORDER BY k, doc_id) AS r FROM c
+), p AS (SELECT *, CAST(least(15, ((2 * upto - size) * 16) // (2 * total)) AS INTEGER) AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, r - min(r) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+"""
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e
@@ -98,4 +125,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_top_k": OP6_SQL}
+    return {"op2_sampled_splitters": OP2_SQL, "op6_exact_top_k": OP6_SQL}
