@@ -10,6 +10,7 @@ lost task left behind are in no manifest and never read.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -111,34 +112,78 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+class Memo:
+    """Remembers bytes by string: what was asked for lately, in two generations of `most` entries or so."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys that aren't remembered; the others are in self.new from now on."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        gone = keys - self.new.keys()
+        kept = gone & self.old.keys()
+        for k in kept:
+            self.new[k] = self.old[k]
+        return list(gone - kept)
+
+
+#: A word that ends in marks after a letter: the tokenizer always cuts between the two.
+MARKED = re.compile(r"(.*[^\W\d_])([.,;:!?]+)")
+
+
 class WordEncoder:
     """Encodes whole texts word by word, each distinct word once as long as it is remembered.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids one after another.
+    Marks at a word's end are encoded apart from it, and Latin words in lower case, as the tokenizer does by itself.
     Texts in which a special token's string occurs are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.most, self.known = most, {"": b""}
+        self.words, self.cores = Memo(most), Memo(3 * most)
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Words of lower-case letters alone in one call; the encoding tells which word an id belongs to."""
+        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, word = np.array(e.ids, self.kind), np.array(e.word_ids, np.int64)
+        cut = np.flatnonzero(np.diff(word)) + 1
+        if len(cut) + 1 != len(words):
+            return self._bytes(words)
+        return [x.tobytes() for x in np.split(ids, cut)]
+
+    def _learn(self, words: list[str]) -> None:
+        parts = []
+        for w in words:
+            m = MARKED.fullmatch(w)
+            core, marks = m.groups() if m else (w, "")
+            # up to here lower case is a matter of one character for one
+            parts.append((core.lower() if core and max(core) < "\u0130" else core, marks))
+        new = self.cores.missing({x for p in parts for x in p})
+        plain = [x for x in new if x and x.islower() and x.isalpha() and max(x) < "\u0130"]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            self.cores.new.update(zip(part, self._together(part)))
+        new = [x for x in new if x not in self.cores.new]
+        for at in range(0, len(new), 4096):
+            self.cores.new.update(zip(new[at : at + 4096], self._bytes(new[at : at + 4096])))
+        cores = self.cores.new
+        self.words.new.update(zip(words, [cores[a] + cores[b] for a, b in parts]))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
         split = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
-        words = set().union(*split)
-        if len(self.known) > self.most:
-            self.known = {"": b""}
-        new = list(words - self.known.keys())
-        for at in range(0, len(new), 4096):
-            self.known.update(zip(new[at : at + 4096], self._bytes(new[at : at + 4096])))
-        known = self.known
+        self._learn(self.words.missing(set().union(*split)))
+        known = self.words.new
         out = [b"".join([known[w] for w in ws]) for ws in split]
         for i in whole:
             out[i] = self._bytes([texts[i]])[0]
