@@ -2,8 +2,8 @@
 
 Items with a band in common are candidates. Within a bucket every item is compared with the bucket's least, which gives
 most links; buckets whose items are then in one component are done. In the others, items outside the largest component
-try some items of it; those that are still apart are compared with all of other components, but for pairs that the triangle inequality rules out: one minus a Jaccard similarity is a
-metric, so items whose distances from the bucket's least differ by more than the threshold's distance can't be linked.
+try some items of it; those that are still apart are compared with all items of other components that have one of their
+rarest features, as every item that is near enough has.
 No candidate that could be a link is left out.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.llm.common import free_shuffles, staged
@@ -43,8 +43,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Callable[[list[str]
     return met.select("a", "b", "ta", "tb").mapInArrow(score, "a long, b long, d double, ok boolean")
 
 
-def lonely_features(ids: DataFrame, texts: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(id, n, lonely): the weight of an item's features, and of those that no other of these items has."""
+def spread_features(ids: DataFrame, texts: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(h, id, w): the features of the texts with these ids, and their weights."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,13 +56,40 @@ def lonely_features(ids: DataFrame, texts: DataFrame, features: Callable[[str],
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own), pa.array(w.astype(np.int64))], ["h", "id", "w"])
 
     few = ids.count() <= BROADCAST_IDS
-    each = staged(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text").mapInArrow(spread, "h long, id long, w long"), "features")
+    return staged(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text").mapInArrow(spread, "h long, id long, w long"), "features")
+
+
+def lonely_features(each: DataFrame) -> DataFrame:
+    """(id, n, lonely): the weight of an item's features, and of those that no other of these items has."""
     alone = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.max("w").alias("w")).where("id = last")
     lonely = alone.groupBy("id").agg(F.sum("w").alias("lonely"))
     sizes = each.groupBy("id").agg(F.sum("w").alias("n"))
     return staged(sizes.join(lonely, "id", "left").select("id", "n", F.coalesce("lonely", F.lit(0)).alias("lonely")), "lonely")
 
 
+def rare_feature_pairs(open_items: DataFrame, each: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of items with different roots, one of them outside, that can have a similarity of `least` or more.
+
+    open_items: id, root, n, lonely, outside; each: h, id, w. Linked items have at least `least` of either's weight in
+    common, so in one order of all features - rarest first - both have a common feature among the first that together
+    weigh more than the rest. Those features are joined, not the items' buckets: what is common to many comes last.
+    """
+    count = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    ranked = each.join(open_items, "id").join(count, "h")
+    before = F.sum("w").over(Window.partitionBy("id").orderBy("c", "h").rowsBetween(Window.unboundedPreceding, -1))
+    first = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= F.col("n") * (1.0 - least) + 1e-6)
+    first = staged(first.select("h", "id", "root", "n", (F.col("n") - F.greatest("lonely", "before")).alias("most"), "outside"), "rare-features")
+    mixed = staged(first.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("outside").alias("o")).where("lo < hi and o").select("h"), "rare-mixed")
+    first = first.join(mixed, "h", "left_semi")
+    left = first.where("outside").select("h", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("most").alias("ma"))
+    right = first.select("h", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+    met = left.join(right, "h").where("ra <> rb")
+    # of the pair's first common feature on, both must have enough left
+    enough = least / (1.0 + least) * (F.col("na") + F.col("nb")) - 1e-6
+    met = met.where(F.least("ma", "mb") >= enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_classes(items: DataFrame, texts: DataFrame, similarity: Callable[[list[str], list[str]], np.ndarray], least: float, features: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(id, root) of the items that have a near-duplicate, root the least id of the class.
 
@@ -90,22 +117,16 @@ def near_classes(items: DataFrame, texts: DataFrame, similarity: Callable[[list[
         seen = seen.unionByName(found)
         roots = _merged(roots, found.where("ok").select("a", "b"))
 
-    # what is still apart meets all that the triangle inequality leaves, outside the largest component first
+    # what is still apart meets everything that it can be linked to, whatever the bucket
     placed, tops, known = _mixed_buckets(members, roots, texts, features, known, ROUNDS)
     if tops is None:
         return roots
-    span = 1.0 - least + 1e-9
-    apart = placed.join(tops.select("key", "top", "smallest"), "key").join(seen.select(F.col("a").alias("rep"), F.col("b").alias("id"), "d"), ["rep", "id"])
+    apart = placed.join(tops.select("key", "top", "smallest"), "key")
     # no other item has more in common with this one than its features that aren't its alone: closed if that is too little
     shared = F.col("n") - F.col("lonely")
     most = shared / (F.col("n") + F.greatest("smallest", shared) - shared)
-    apart = apart.withColumn("closed", most < least - 1e-9)
-    # cells of the distance to the bucket's least, as wide as the span: only equal or neighbouring cells can hold links
-    apart = staged(apart.select("key", "id", "root", "top", "d", "closed", F.floor(F.col("d") / span).alias("cell")), "apart")
-    left = apart.where("root <> top and not closed").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("d").alias("da"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    right = apart.where("not closed").select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("d").alias("db"), "cell")
-    rest = left.join(right, ["key", "cell"]).where((F.col("ra") != F.col("rb")) & (F.abs(F.col("da") - F.col("db")) <= span))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    apart = apart.where(most >= least - 1e-9).groupBy("id", "root", "n", "lonely").agg(F.max(F.col("root") != F.col("top")).alias("outside"))
+    rest = rare_feature_pairs(staged(apart, "apart"), known[0], least)
     more = staged(verified(rest.join(seen.select("a", "b"), ["a", "b"], "left_anti"), texts, similarity, least).where("ok").select("a", "b"), "more-links")
     return _merged(roots, more)
 
@@ -122,8 +143,8 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return staged(moved.unionByName(fresh), "roots")
 
 
-def _mixed_buckets(members: DataFrame, roots: DataFrame, texts: DataFrame, features: Callable, known: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Members with root, n and lonely; of each bucket with several components the largest one (top), an item of it (pick) and its smallest item's n; and lonely features, found out once."""
+def _mixed_buckets(members: DataFrame, roots: DataFrame, texts: DataFrame, features: Callable, known: tuple[DataFrame, DataFrame] | None, turn: int) -> tuple[DataFrame, DataFrame | None, tuple[DataFrame, DataFrame] | None]:
+    """Members with root, n and lonely; of each bucket with several components the largest one (top), an item of it (pick) and its smallest item's n; and all features and the lonely ones, found out once."""
     placed = staged(members.join(roots, "id", "left").select("key", "rep", "id", F.coalesce("root", "id").alias("root")), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     mixed = staged(mixed, "mixed")
@@ -133,8 +154,9 @@ def _mixed_buckets(members: DataFrame, roots: DataFrame, texts: DataFrame, featu
     mixed = F.broadcast(mixed) if few <= BROADCAST_BUCKETS else mixed
     placed = placed.join(mixed, "key", "left_semi")
     if known is None:
-        known = lonely_features(staged(placed.select("id").distinct(), "mixed-ids"), texts, features)
-    placed = staged(placed.join(known, "id"), "placed")
+        each = spread_features(staged(placed.select("id").distinct(), "mixed-ids"), texts, features)
+        known = each, lonely_features(each)
+    placed = staged(placed.join(known[1], "id"), "placed")
     typical = F.when(F.lit(turn) == 0, F.col("lonely") / F.col("n")).otherwise(0.0)
     parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(typical.alias("t"), F.xxhash64("id", F.lit(turn), "key").alias("h"), "id")).alias("pick"), F.min("n").alias("smallest"))
     tops = parts.groupBy("key").agg(F.max(F.struct("c", "root", F.col("pick.id").alias("pick"))).alias("t"), F.min("smallest").alias("smallest"))
