@@ -25,7 +25,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "dropped_lines")
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), width=5, bands=14)
+    return out.select("doc_id", "n_lines", "n_dropped", "dropped_lines")
 
 
 def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
