@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 def nearest(left: DataFrame, right: DataFrame, by: list[str], around: int, most_ms: int) -> DataFrame:
     """For each row of left (id, ms) the step of right (step, step_ms) nearest in time within `by`, of hosts that fit.
 
-    Candidates are the `around` steps on either side of where the row's time falls among the steps of `by`; the host must be
+    Candidates are the `around` steps before where the row's time falls among the steps of `by` and the `around` + 1 from there on; the host must be
     equal, or the step have none; then the least distance wins, the earlier step on a tie; farther than most_ms: none. Steps and
     rows are put in one order by a union and windows, so the join is by ordinal: no row meets all steps.
     """
     steps = right.withColumn("ordinal", F.row_number().over(Window.partitionBy(*by).orderBy("step_ms", "step")).cast("long"))
     marks = steps.select(*by, F.col("step_ms").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id")).unionByName(left.select(*by, F.col("ms").alias("t"), F.lit(1).alias("kind"), F.col("id").cast("long").alias("id")))
     before = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(Window.partitionBy(*by).orderBy("t").rangeBetween(Window.unboundedPreceding, -1))
-    placed = marks.withColumn("at", F.coalesce(before, F.lit(0))).where("kind = 1").select(*by, "id", F.col("t").alias("ms"), F.explode(F.sequence(F.col("at") - around + 1, F.col("at") + around)).alias("ordinal"))
+    placed = marks.withColumn("at", F.coalesce(before, F.lit(0))).where("kind = 1").select(*by, "id", F.col("t").alias("ms"), F.explode(F.sequence(F.col("at") - around + 1, F.col("at") + around + 1)).alias("ordinal"))
     met = placed.join(left.select("id", "host"), "id").join(steps.select(*by, "ordinal", "step", "step_ms", F.col("host").alias("step_host")), [*by, "ordinal"])
     met = met.where(F.col("step_host").isNull() | (F.col("step_host") == F.col("host"))).withColumn("delta", F.abs(F.col("ms") - F.col("step_ms")))
     best = met.groupBy("id").agg(F.min(F.struct("delta", "step_ms", "step")).alias("b")).where(F.col("b.delta") <= most_ms)
