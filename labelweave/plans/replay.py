@@ -157,7 +157,7 @@ def t5_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
         return (row.corpus, row.event_id, trigger, why)
 
     rows = t.events(spark, sf_dir).select("corpus", "event_id", "ms", "host", "action")
-    return fold(rows, ["corpus"], ["ms", "event_id"], lambda row: ({}, {}), step, "corpus string, event_id long, trigger string, verdict string")
+    return fold(rows, ["corpus", "host"], ["ms", "event_id"], lambda row: ({}, {}), step, "corpus string, event_id long, trigger string, verdict string")
 
 
 QUERIES = {f.__name__: f for f in (d9_base_router, d34_online_majority, d25_state_switch, v6_feedback_grid, v4_bootstrap, t5_checkpoints)}
