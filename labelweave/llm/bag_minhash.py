@@ -159,7 +159,7 @@ def near_duplicates(df: DataFrame, text: str = "text", order_by: str = "doc_id",
     copies = staged(base.groupBy(digest).agg(F.min(uid).alias("id")), "copies")
     first = base.select(F.col(uid).alias("id"), F.col(digest), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     items = staged(first.select("id", "text").mapInArrow(_signed(bands, rows), "id long, bands array<long>").join(copies.select("id"), "id", "left_semi"), "signatures")
-    roots = near_classes(items, first.select("id", "text"), similarity, least, bag)
+    roots = near_classes(items, lambda ids: first.select("id", "text").join(ids, "id", "left_semi"), similarity, least, bag)
     of = copies.join(roots, "id", "left").select(digest, F.coalesce("root", "id").alias("__root"))
     of = staged(of, "class-of-text")
     member = staged(base.select(uid, digest, F.col(order_by).alias("__o")).join(of, digest).select(uid, "__root", "__o"), "members-of-class")

@@ -9,14 +9,15 @@ No candidate that could be a link is left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import free_shuffles, staged
+from labelweave.llm.common import discard, staged
 from labelweave.llm.components import components
 
 #: Buckets, and ids of candidates, up to which a table of them is broadcast.
@@ -25,12 +26,16 @@ BROADCAST_BUCKETS, BROADCAST_IDS = 150_000, 500_000
 ROUNDS = 2
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: Callable[[list[str], list[str]], np.ndarray], least: float) -> DataFrame:
-    """(a, b, d): 1 - similarity of each pair (a, b), from the texts (id, text) of both, those of `least` or more marked by ok."""
+def sized_ids(ids: DataFrame) -> DataFrame:
+    """ids, staged, to be broadcast if they are few."""
+    ids = staged(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: Callable[[list[str], list[str]], np.ndarray], least: float) -> DataFrame:
+    """(a, b, d): 1 - similarity of each pair (a, b), from the texts of both, those of `least` or more marked by ok. texts: ids to (id, text)."""
     pairs = staged(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = staged(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "pair-texts")
+    texts = staged(texts(sized_ids(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())), "pair-texts")
     met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +48,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Callable[[list[str]
     return met.select("a", "b", "ta", "tb").mapInArrow(score, "a long, b long, d double, ok boolean")
 
 
-def spread_features(ids: DataFrame, texts: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def spread_features(ids: DataFrame, texts: Callable[[DataFrame], DataFrame], features: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(h, id, w): the features of the texts with these ids, and their weights."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,8 +60,7 @@ def spread_features(ids: DataFrame, texts: DataFrame, features: Callable[[str],
                 h, w = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own), pa.array(w.astype(np.int64))], ["h", "id", "w"])
 
-    few = ids.count() <= BROADCAST_IDS
-    return staged(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text").mapInArrow(spread, "h long, id long, w long"), "features")
+    return staged(texts(sized_ids(ids)).select("id", "text").mapInArrow(spread, "h long, id long, w long"), "features")
 
 
 def lonely_features(each: DataFrame) -> DataFrame:
@@ -90,22 +94,171 @@ def rare_feature_pairs(open_items: DataFrame, each: DataFrame, least: float) ->
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_classes(items: DataFrame, texts: DataFrame, similarity: Callable[[list[str], list[str]], np.ndarray], least: float, features: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def near_classes(items: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: Callable[[list[str], list[str]], np.ndarray], least: float, features: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(id, root) of the items that have a near-duplicate, root the least id of the class.
 
-    items: id and bands, an array of longs, equal bands only in equal places; texts: id and text. Both must be tables that
-    give the same rows whenever they are read. Items without bands have no near-duplicates. similarity: weighted Jaccard similarity of the features, given as hashes and weights by features.
+    items: id and bands, an array of longs, equal bands only in equal places, a table that gives the same rows whenever it
+    is read; texts: ids to (id, text). Items without bands have no near-duplicates. similarity: weighted Jaccard
+    similarity of the features, given as hashes and weights by features.
     """
-    spark = items.sparkSession
     bands = items.select("id", F.explode("bands").alias("key"))
     buckets = staged(bands.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("rep < last"), "buckets")
-    free_shuffles(spark)
     larger = buckets.where("n > 2").select("key", "rep")
     few = larger.count() <= BROADCAST_BUCKETS
     members = staged(bands.join(F.broadcast(larger) if few else larger, "key").select("key", "rep", "id"), "members")
     pairs = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).unionByName(buckets.where("n = 2").select(F.col("rep").alias("a"), F.col("last").alias("b"))).distinct()
     seen = staged(verified(pairs, texts, similarity, least), "verified")
     roots = staged(components(seen.where("ok").select("a", "b")), "roots")
+    return _what_is_apart(members, roots, seen, texts, similarity, least, features)
+
+
+#: Keys that a task gathers before it sends them on, and keys of a partition.
+CENSUS_FLUSH, CENSUS_PART = 1 << 21, 1 << 22
+
+
+def shared_keys(items: DataFrame) -> DataFrame:
+    """(key): the keys that items with different tags have. items: tag int, bands array<long>.
+
+    Tasks sort their keys and send each once, or twice if they hold it with different tags, packed by range of keys: 12 bytes
+    each, and no more for keys that many items have. Two items with the same tag (by chance, once in 2^32) don't count.
+    """
+    spark = items.sparkSession
+    total = items.agg(F.sum(F.size("bands"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // CENSUS_PART))
+
+    def pack(held: list) -> Iterator[pa.RecordBatch]:
+        key, tag = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key, kind="stable")
+        key, tag = key[order], tag[order]
+        new = np.append(True, key[1:] != key[:-1])
+        start = np.flatnonzero(new)
+        which = np.cumsum(new) - 1
+        other = np.flatnonzero(tag != tag[start][which])
+        keep = np.sort(np.concatenate([start, other[np.unique(which[other], return_index=True)[1]]]))
+        key, tag = key[keep], tag[keep]
+        part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(part)) + 1
+        begin, end = np.append(0, cut), np.append(cut, len(key))
+        planes = [key[a:b].astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in zip(begin, end)]  # bytes of one weight together: the first ones hardly change
+        yield pa.RecordBatch.from_arrays([pa.array(part[begin], pa.int32()), pa.array(planes, pa.binary()), pa.array([tag[a:b].tobytes() for a, b in zip(begin, end)], pa.binary())], ["part", "keys", "tags"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            bands = batch.column(1)
+            key = bands.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            if not len(key):
+                continue
+            sizes = np.diff(bands.offsets.to_numpy())
+            tag = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32), np.where(bands.is_valid().to_numpy(zero_copy_only=False), sizes, 0))
+            held.append((key, tag))
+            n += len(key)
+            if n >= CENSUS_FLUSH:
+                yield from pack(held)
+                held, n = [], 0
+        if held:
+            yield from pack(held)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, tags = [], []
+        for batch in batches:
+            for planes, tag in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                keys.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(">u8")[:, 0].astype(np.uint64))
+                tags.append(np.frombuffer(tag, np.int32))
+        if keys:
+            key, tag = np.concatenate(keys), np.concatenate(tags)
+            order = np.argsort(key, kind="stable")
+            key, tag = key[order], tag[order]
+            found = np.unique(key[1:][(key[1:] == key[:-1]) & (tag[1:] != tag[:-1])])
+            for at in range(0, len(found), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 16)].view(np.int64))], ["key"])
+
+    sent = items.select("tag", "bands").mapInArrow(send, "part int, keys binary, tags binary")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(meet, "key long")
+
+
+#: Items of a bucket that lie outside its largest component, up to which they are compared with all of it, and how many of them a row holds.
+MOST_OUTSIDE, OUTSIDE_ROW = 4096, 128
+#: A sketch: three bits of each of 64 components of a signature, those of one weight in one long.
+SKETCH = "struct<a:long,b:long,c:long>"
+
+
+def alike(x: Column, y: Column, bins: int, least: float) -> Column:
+    """Whether two items (n, sketch) can have a similarity of `least`, by their sizes - exact - and their sketches.
+
+    Items at similarity s agree in s + (1 - s) / 8 of their components on average, unlike ones in an eighth. The bound lies 4.3
+    deviations below that at `least`, as for so many independent components as an item of that size fills of 64.
+    """
+    size = F.least(x["n"], y["n"])
+    differ = F.lit(0).cast("long")
+    for k in "abc":
+        differ = differ.bitwiseOR(x["sketch"][k].bitwiseXOR(y["sketch"][k]))
+    p = least + (1 - least) / 8
+    full = 64 * (1 - F.exp(-size / F.lit(float(bins))))
+    lowest = F.floor(64 * (p - 4.3 * F.sqrt(p * (1 - p) / full)))
+    return (size >= F.greatest(x["n"], y["n"]) * F.lit(least) - 1e-9) & (64 - F.bit_count(differ) >= lowest)
+
+
+def sketched_classes(members: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: Callable, bins: int, least: float, features: Callable) -> DataFrame:
+    """(id, root) of the items that have a near-duplicate, root the least id of the class.
+
+    members: key, id, n (an item's number of features), sketch (SKETCH, of a signature of `bins` components) - a row for each
+    bucket that an item lies in, buckets of one item and repeated rows allowed. A staged table. texts: ids to (id, text).
+    Pairs that `alike` rules out are not looked at. Every item meets its bucket's least first. What is then still apart
+    within a bucket is split by size, so that items that may be alike share a part; in each part all items meet those outside
+    its largest component, packed in rows; only pairs that are alike and apart come out. Where more than MOST_OUTSIDE
+    items are outside, rounds and rare features settle the part as in near_classes.
+    """
+    item = F.struct("id", "n", "sketch")
+    reps = members.groupBy("key").agg(F.min(item).alias("rep"), F.max("id").alias("last"), F.count(F.lit(1)).alias("c")).where("rep.id < last").select("key", "rep", "c")
+    reps = staged(reps, "buckets")
+    few = reps.count() <= BROADCAST_BUCKETS
+    sized = (lambda x: F.broadcast(x)) if few else (lambda x: x)
+    met = members.join(sized(reps), "key").where("id <> rep.id").withColumn("own", item)
+    star = met.where(alike(F.col("own"), F.col("rep"), bins, least)).select(F.col("rep.id").alias("a"), F.col("id").alias("b"))
+    seen = staged(verified(star.distinct(), texts, similarity, least), "verified")
+    roots = staged(components(seen.where("ok").select("a", "b")), "roots")
+
+    # buckets of two are done; items that may be alike differ in size by less than a class, so one of the two classes of each is the other's
+    size = F.floor(F.log(F.col("n")) / F.lit(-math.log(least) + 1e-9)).cast("long")
+    placed = members.join(sized(reps.where("c > 2").select("key")), "key", "left_semi").join(_broadcast_few(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = staged(placed.withColumn("class", F.explode(F.array(size, size + 1))).select(F.xxhash64("key", "class").alias("key"), "id", "n", "sketch", "root").distinct(), "bucket-parts")
+    discard(reps)
+    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    parts = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    parts = staged(parts.select("key", F.col("top.root").alias("top"), (F.col("c") - F.col("top.c")).alias("outside")), "parts")
+    few = parts.count() <= BROADCAST_BUCKETS
+    sized = (lambda x: F.broadcast(x)) if few else (lambda x: x)
+    packed = placed.join(sized(parts.where(F.col("outside") <= MOST_OUTSIDE)), "key").where("root <> top")
+    rows = F.ceil(F.col("outside") / OUTSIDE_ROW).cast("long")
+    packed = packed.groupBy("key", F.pmod(F.xxhash64("id"), rows).alias("row")).agg(F.collect_list(F.struct("id", "n", "sketch", "root")).alias("those"), F.first("top").alias("top"))
+
+    def others(x: Column) -> Column:
+        apart = lambda y: (y["root"] != x["root"]) & ((x["root"] == F.col("top")) | (x["id"] < y["id"]))
+        return F.transform(F.filter("those", lambda y: apart(y) & alike(x, y, bins, least)), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
+
+    # a row of its own for each row it meets, so that a large part is spread over tasks
+    asked = placed.join(sized(parts.where(F.col("outside") <= MOST_OUTSIDE).select("key", rows.alias("rows"))), "key")
+    asked = asked.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"), F.struct("id", "n", "sketch", "root").alias("own"))
+    tries = asked.join(packed, ["key", "row"]).select(F.inline(others(F.col("own")))).distinct()
+    found = staged(verified(tries.join(seen.select("a", "b"), ["a", "b"], "left_anti"), texts, similarity, least), "verified")
+    seen = seen.unionByName(found)
+    roots = _merged(roots, found.where("ok").select("a", "b"))
+    big = parts.where(F.col("outside") > MOST_OUTSIDE).select("key")
+    if not big.limit(1).count():
+        discard(placed, parts)
+        return roots
+    large = placed.join(sized(big), "key", "left_semi").select("key", "id")
+    tops = large.groupBy("key").agg(F.min("id").alias("rep"))
+    return _what_is_apart(staged(large.join(tops, "key").select("key", "rep", "id"), "members"), roots, seen, texts, similarity, least, features)
+
+
+def _broadcast_few(roots: DataFrame) -> DataFrame:
+    return F.broadcast(roots) if roots.count() <= BROADCAST_IDS else roots
+
+
+def _what_is_apart(members: DataFrame, roots: DataFrame, seen: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: Callable, least: float, features: Callable) -> DataFrame:
+    """Roots after everything in a bucket (members: key, rep, id) that lies in several components has been compared as far as it can be linked."""
     known = None
     for turn in range(ROUNDS):
         placed, tops, known = _mixed_buckets(members, roots, texts, features, known, turn)
@@ -143,7 +296,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return staged(moved.unionByName(fresh), "roots")
 
 
-def _mixed_buckets(members: DataFrame, roots: DataFrame, texts: DataFrame, features: Callable, known: tuple[DataFrame, DataFrame] | None, turn: int) -> tuple[DataFrame, DataFrame | None, tuple[DataFrame, DataFrame] | None]:
+def _mixed_buckets(members: DataFrame, roots: DataFrame, texts: Callable[[DataFrame], DataFrame], features: Callable, known: tuple[DataFrame, DataFrame] | None, turn: int) -> tuple[DataFrame, DataFrame | None, tuple[DataFrame, DataFrame] | None]:
     """Members with root, n and lonely; of each bucket with several components the largest one (top), an item of it (pick) and its smallest item's n; and all features and the lonely ones, found out once."""
     placed = staged(members.join(roots, "id", "left").select("key", "rep", "id", F.coalesce("root", "id").alias("root")), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")

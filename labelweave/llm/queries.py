@@ -25,7 +25,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), width=5, bands=14)
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", "dropped_lines")
 
 

@@ -105,7 +105,7 @@ def test_lines_are_brute_force(spark):
     got = {(r["doc_id"], r["text"]): (r["n_lines"], r["dropped_lines"], r["kept_text"]) for r in dedup_lines(df).collect()}
     places = [(d, t, k, x.strip(" ").lower()) for d, t in dict.fromkeys(docs) if t is not None for k, x in enumerate(t.split("\n"))]
     names = sorted({p[3] for p in places} - {""})
-    sim = Jaccard(8)
+    sim = Jaccard(5)
     root = _union(len(names), [(i, j) for i, j in itertools.combinations(range(len(names)), 2) if sim([names[i]], [names[j]])[0] >= 0.8])
     group = {x: root[i] for i, x in enumerate(names)}
     first = {}
