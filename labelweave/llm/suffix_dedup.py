@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,11 @@ from labelweave.llm.common import free_name, shared_dir, staged
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Bytes of a document that are looked at in one go.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Positions that a task gathers before it sends them on.
-FLUSH = 500_000
+FLUSH = 100_000
+#: Bytes of texts that are taken out of a batch at once.
+SLICE = 1 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -120,6 +123,16 @@ def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE bytes of that column; a longer text is a slice of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _pieces(texts: list[bytes], threshold: int) -> Iterator[list[tuple[int, int, bytes]]]:
     """(text, begin, bytes) in groups of a segment's size or so; long texts fall into pieces that share all but one byte of a string."""
     group, size = [], 0
@@ -211,8 +224,7 @@ def _send(kind: str, threshold: int, buckets: int, with_more: bool):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, k, d, n = [], [], [], 0
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for part in _slices(batch, 2):
                 mine = [np.frombuffer(x, "<u4").astype(np.int64) for x in part.column(3).to_pylist()] if part.num_columns > 3 else None
                 before = len(k)
                 k += part.column(0).to_pylist()
@@ -312,7 +324,7 @@ def _unsettled(half: DataFrame, whole: DataFrame, buckets: int) -> DataFrame:
 
 def _removal(threshold: int, with_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
             rows = []
             texts, copies = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             whole, single = ([np.frombuffer(x or b"", "<u4").astype(np.int64) for x in batch.column(c).to_pylist()] for c in (3, 4))
