@@ -129,8 +129,8 @@ class Memo:
         return list(gone - kept)
 
 
-#: A word that ends in marks after a letter: the tokenizer always cuts between the two.
-MARKED = re.compile(r"(.*[^\W\d_])([.,;:!?]+)")
+#: A word that ends in marks after a letter of ASCII: the tokenizer always cuts between the two. Other letters may end in a combining mark once normalised, which it doesn't part from punctuation.
+MARKED = re.compile(r"(.*[A-Za-z])([.,;:!?]+)", re.DOTALL)
 
 
 class WordEncoder:

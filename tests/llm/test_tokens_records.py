@@ -1,3 +1,5 @@
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -51,3 +53,23 @@ def test_damage_is_found():
     for at in (3, 20, len(data) - 1):
         with pytest.raises((ValueError, MemoryError)):
             R.parse_frames(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
+
+
+def _differences(texts):
+    encode, tokenizer = R.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    whole = [np.array(e.ids, encode.kind).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    return [t for t, a, b in zip(texts, encode(texts), whole) if a != b]
+
+
+def test_words_of_every_letter_before_closing_marks():
+    letters = [c for c in map(chr, range(0x30000)) if unicodedata.category(c)[0] == "L"]
+    words = [w for c in letters for w in (f"{c},", f"ab{c}.", f"{c}a!")]
+    assert len(letters) > 100_000 and not _differences([" ".join(words[i : i + 60]) for i in range(0, len(words), 60)])
+
+
+def test_words_of_fuzzed_texts():
+    rng = random.Random(8)
+    odd = "İIıßſŉǰΣςσ\u0301\u0307\u09df\u095c\ufb2a\u0915\u093f\u1e9eÅÅﬁ½²_'’.,;:!?-– \t\u00a0\u3000\x1c\n日본กุ𝒜😀"
+    alphabet = odd * 3 + "abcdefgstXYZ0189"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(20_000)]
+    assert not _differences(texts)
