@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import free_name, staged
+from labelweave.llm.common import free_name, kept_columns, quoted, staged, text_or_empty
 from labelweave.llm.near import near_classes
 
 WORD = re.compile(r"\w+")
@@ -151,19 +151,20 @@ def near_duplicates(df: DataFrame, text: str = "text", order_by: str = "doc_id",
     components, which finds a pair at 0.8 with a probability of 0.9996; all are verified. Of each class the row with the least
     order_by is kept (nulls last; of repeated rows exactly one). A null text equals an empty one; texts without
     words are linked to equal ones only. Whole texts count. An empty table gives an empty result. Columns of df that
-    have one of the names are replaced.
+    have one of the names, in any case, are replaced.
     """
     class_id, class_size, keep = names
-    uid, digest = free_name(df, "__uid"), free_name(df, "__digest")
-    base = staged(df.withColumns({uid: F.monotonically_increasing_id(), digest: F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))}), "near-input")
+    uid, digest, root, order = (free_name(df, f"__{x}", *names) for x in ("uid", "digest", "root", "order"))
+    base = staged(df.withColumns({uid: F.monotonically_increasing_id(), digest: F.md5(text_or_empty(text).cast("binary"))}), "near-input")
     copies = staged(base.groupBy(digest).agg(F.min(uid).alias("id")), "copies")
-    first = base.select(F.col(uid).alias("id"), F.col(digest), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    first = base.select(F.col(uid).alias("id"), F.col(digest), text_or_empty(text).alias("text"))
     items = staged(first.select("id", "text").mapInArrow(_signed(bands, rows), "id long, bands array<long>").join(copies.select("id"), "id", "left_semi"), "signatures")
     roots = near_classes(items, lambda ids: first.select("id", "text").join(ids, "id", "left_semi"), similarity, least, bag)
-    of = copies.join(roots, "id", "left").select(digest, F.coalesce("root", "id").alias("__root"))
+    of = copies.join(roots, "id", "left").select(digest, F.coalesce("root", "id").alias(root))
     of = staged(of, "class-of-text")
-    member = staged(base.select(uid, digest, F.col(order_by).alias("__o")).join(of, digest).select(uid, "__root", "__o"), "members-of-class")
-    best = member.groupBy("__root").agg(F.min(F.struct(F.col("__o").isNull().alias("n"), F.col("__o").alias("o"), F.col(uid).alias("u"))).alias("__best"), F.count(F.lit(1)).alias(class_size))
+    member = staged(base.select(uid, digest, quoted(order_by).alias(order)).join(of, digest).select(uid, root, order), "members-of-class")
+    best = member.groupBy(root).agg(F.min(F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("o"), F.col(uid).alias("u"))).alias("best"), F.count(F.lit(1)).alias("n"))
     best = staged(best, "best-of-class")
-    verdict = member.join(best, "__root").select(uid, F.col("__best.o").alias(class_id), class_size, (F.col("__best.u") == F.col(uid)).alias(keep))
-    return base.select(uid, *[F.col(f"`{c}`") for c in df.columns if c not in names]).join(verdict, uid).drop(uid)
+    verdict = member.join(best, root).select(uid, F.struct(F.col("best.o").alias("o"), "n", (F.col("best.u") == F.col(uid)).alias("k")).alias(order))
+    rest, of_row = kept_columns(df, names), F.col(order)
+    return base.select(uid, *rest).join(verdict, uid).select(*rest, of_row["o"].alias(class_id), of_row["n"].alias(class_size), of_row["k"].alias(keep))

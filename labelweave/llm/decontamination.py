@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelweave.llm.common import free_name
+from labelweave.llm.common import free_name, kept_columns, quoted
 
 WORD = re.compile(r"\w+")
 LENGTHS = (3, 4, 5, 6, 8)
@@ -135,7 +135,7 @@ def _word_counts(df: DataFrame, text: str, block: Block) -> tuple[dict[int, int]
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], ["w", "n"])
 
-    table = df.select(F.col(text).cast("string")).mapInArrow(count, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()  # a row for each word of the block
+    table = df.select(quoted(text).cast("string")).mapInArrow(count, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()  # a row for each word of the block
     counts = {r["w"]: r["n"] for r in table}
     return counts, sum(counts.values())
 
@@ -171,14 +171,14 @@ def decontaminate(
     changed, put in or left out costs up to two words. Letters and digits count, in lower case. chance: the rate per word
     below which a run of words counts as rare. Ties go to the smallest item_id. Null or empty texts, and items without
     words or id, match nothing. Whole texts count. Every row is kept, repeated rows alike; an empty table on
-    either side matches nothing. Columns of df that have one of the names are replaced. A block of the benchmark has
+    either side matches nothing. Columns of df that have one of the names, in any case, are replaced. A block of the benchmark has
     about block_chars characters; each is a pass over the texts.
     """
     flag, item, score, n_items = names
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(quoted(item_id).cast("long").alias("i"), quoted(item_text).cast("string").alias("t")).where("i is not null and t is not null")
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-size // block_chars)
-    found = free_name(df, "__found")
+    found, top, n = (free_name(df, f"__{x}", *names) for x in ("found", "top", "n"))
     made = []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).distinct().collect()  # block_chars characters or so
@@ -187,11 +187,11 @@ def decontaminate(
         block.choose_seeds(counts, total, chance)
         shared = df.sparkSession.sparkContext.broadcast(block)
 
-        made.append(_matcher(shared, least)(F.col(text).cast("string")))
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
+        made.append(_matcher(shared, least)(quoted(text).cast("string")))
+    kept = kept_columns(df, names)
     if not made:
         return df.select(*kept, F.lit(False).alias(flag), F.lit(None).cast("long").alias(item), F.lit(0.0).alias(score), F.lit(0).alias(n_items))
-    rows = df.select(*kept, F.array(*made).alias(found)) if len(made) > 1 else df.select(*kept, F.array(made[0]).alias(found))
+    rows = df.select(*kept, F.array(*made).alias(found))
     best = F.array_max(F.transform(F.filter(found, lambda x: x["i"].isNotNull()), lambda x: F.struct(x["s"].alias("s"), (-x["i"]).alias("i"))))
-    rows = rows.withColumns({"__best": best, "__n": F.aggregate(found, F.lit(0), lambda a, x: a + x["n"])})
-    return rows.select(*kept, (F.col("__n") > 0).alias(flag), (-F.col("__best.i")).alias(item), F.round(F.coalesce("__best.s", F.lit(0.0)), 6).alias(score), F.col("__n").alias(n_items))
+    rows = rows.withColumns({top: best, n: F.aggregate(found, F.lit(0), lambda a, x: a + x["n"])})
+    return rows.select(*kept, (F.col(n) > 0).alias(flag), (-F.col(top)["i"]).alias(item), F.round(F.coalesce(F.col(top)["s"], F.lit(0.0)), 6).alias(score), F.col(n).alias(n_items))

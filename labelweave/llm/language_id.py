@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelweave.llm.common import free_name, staged
+from labelweave.llm.common import free_name, kept_columns, quoted, staged
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKET_BITS = 14
@@ -48,7 +48,7 @@ def _slices(texts: list[str | None], size: int = 1 << 19):
 
 def fit_text_model(df: DataFrame, text: str, label: Column, languages: tuple[str, ...], fit_rows: int) -> np.ndarray:
     """log P(bucket | language), a row for each bucket, from about fit_rows labelled rows chosen by a hash of the text."""
-    known = df.select(F.col(text).cast("string").alias("t"), label.alias("l")).where(F.col("l").isin(*languages) & F.col("t").isNotNull())
+    known = df.select(quoted(text).cast("string").alias("t"), label.alias("l")).where(F.col("l").isin(*languages) & F.col("t").isNotNull())
     n = known.count()
     known = known.where(F.pmod(F.xxhash64("t", F.lit(5)), F.lit(max(1, n // fit_rows))) == 0)
 
@@ -121,21 +121,21 @@ def identify(
     host and domain: the other evidence, null where there is none. A row is accepted if its text has a letter and its
     posterior is `least` or more. A null or empty text, or one without letters, has no text evidence: it gets what the
     rest says and isn't accepted. Whole texts count. Every row is kept, repeated rows alike; an empty table gives an
-    empty result. Columns of df that have one of the names are replaced. strength: how many rows a parent's
+    empty result. Columns of df that have one of the names, in any case, are replaced. strength: how many rows a parent's
     prior weighs.
     """
     none = F.lit(None).cast("string")
     lang, p, ok = names
-    d, s, h, dom, ev = (free_name(df, f"__{x}") for x in ("declared", "suffix", "host", "domain", "evidence"))
+    d, s, h, dom, ev, of_d, of_s, of_h, post, top = (free_name(df, f"__{x}", *names) for x in ("declared", "suffix", "host", "domain", "evidence", "ofd", "ofs", "ofh", "post", "top"))
     model = fit_text_model(df, text, label if label is not None else declared, languages, fit_rows)
     known = F.lower(F.substring(F.trim(declared.cast("string")), 1, 2)) if declared is not None else none
     rows = df.withColumns({d: F.when(known.isin(*languages), known), s: (suffix if suffix is not None else none).cast("string"), h: (host if host is not None else none).cast("string"), dom: (domain if domain is not None else none).cast("string")})
-    rows = rows.withColumn(ev, text_evidence(model, F.col(text).cast("string"), cap))
+    rows = rows.withColumn(ev, text_evidence(model, quoted(text).cast("string"), cap))
 
     # sums of the texts' posteriors for everything that is said beside the text: one aggregation, the base of all tables
     n = len(languages)
     soft = _posterior(F.col(ev), n)
-    cells = staged(rows.withColumn("__p", soft).groupBy(d, s, h, dom).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("__p")[i]).alias(f"p{i}") for i in range(n)]), "language-cells")
+    cells = staged(rows.withColumn(post, soft).groupBy(d, s, h, dom).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(post)[i]).alias(f"p{i}") for i in range(n)]), "language-cells")
 
     def table(*by: str) -> DataFrame:
         return cells.groupBy(*by).agg(F.array(*[F.sum(f"p{i}") for i in range(n)]).alias("c")) if by else cells.agg(F.array(*[F.coalesce(F.sum(f"p{i}"), F.lit(0.0)) for i in range(n)]).alias("c"))
@@ -148,7 +148,7 @@ def identify(
         t = table(by).where(F.col(by).isNotNull())
         every = F.aggregate("c", F.lit(0.0), lambda a, v: a + v)
         smooth = [F.log((F.col("c")[i] + strength * (every + 1) / F.lit(sum(total) + values)) / F.lit(total[i] + strength)) for i in range(n)]
-        return t.select(by, F.array(*smooth).alias(f"__of{by}"))
+        return t.select(by, F.array(*smooth).alias(of_d if by == d else of_s))
 
     def smoothed(c: Column, parent: Column) -> Column:
         every = F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
@@ -158,19 +158,19 @@ def identify(
     domains = table(dom).where(F.col(dom).isNotNull()).select(dom, smoothed(F.col("c"), corpus).alias("__dp"))
     hosts = table(h, dom).where(F.col(h).isNotNull()).join(domains, dom, "left")
     hosts = hosts.groupBy(h).agg(F.max(F.struct(F.size("c"), F.col("c"), F.coalesce("__dp", corpus).alias("dp"))).alias("x")) if domain is None else hosts.groupBy(h).agg(F.struct(F.lit(n), F.array(*[F.sum(F.col("c")[i]) for i in range(n)]).alias("c"), F.first(F.coalesce("__dp", corpus)).alias("dp")).alias("x"))
-    hosts = hosts.select(h, F.transform(smoothed(F.col("x.c"), F.col("x.dp")), lambda x: F.log(x)).alias("__hp"))
+    hosts = hosts.select(h, F.transform(smoothed(F.col("x.c"), F.col("x.dp")), lambda x: F.log(x)).alias(of_h))
 
     zero = F.array(*[F.lit(0.0)] * n)
     for name, t in ((d, likelihood(d, n)), (s, likelihood(s, 100)), (h, hosts)):
         rows = rows.join(_sized(t), name, "left")
     log_corpus = F.array(*[F.lit(math.log(x)) for x in share])
-    parts = [F.col(ev), F.coalesce(f"__of{d}", zero), F.coalesce(f"__of{s}", zero), F.coalesce("__hp", log_corpus)]
+    parts = [F.col(ev), F.coalesce(of_d, zero), F.coalesce(of_s, zero), F.coalesce(of_h, log_corpus)]
     sums = F.array(*[sum((x[i] for x in parts[1:]), parts[0][i]) for i in range(n)])
-    rows = rows.withColumn("__post", _posterior(sums, n)).withColumn("__top", F.array_max("__post"))
+    rows = rows.withColumn(post, _posterior(sums, n)).withColumn(top, F.array_max(post))
     names_of = F.array(*[F.lit(x) for x in languages])
-    lettered = F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"\p{L}")
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in names]
-    return rows.select(*keep, F.element_at(names_of, F.array_position("__post", F.col("__top")).cast("int")).alias(lang), F.round("__top", 6).alias(p), (lettered & (F.col("__top") >= least)).alias(ok))
+    lettered = F.coalesce(quoted(text).cast("string"), F.lit("")).rlike(r"\p{L}")
+    keep = kept_columns(df, names)
+    return rows.select(*keep, F.element_at(names_of, F.array_position(post, F.col(top)).cast("int")).alias(lang), F.round(top, 6).alias(p), (lettered & (F.col(top) >= least)).alias(ok))
 
 
 #: Markup that declares a page's language.

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import free_name
+from labelweave.llm.common import free_name, kept_columns, quoted
 
 #: Sources up to which the table of sources and the patterns are broadcast.
 BROADCAST_SOURCES = 500
@@ -94,32 +94,31 @@ def mix_sources(
     one unit at least. Sources missing from weights get the smallest weight. A null source is a source of its own.
     Within a source, rows lie in the order of a hash of order_by, ties in any order. Every row is kept; mix_pos is
     unique, with gaps only where a source's last block isn't full. An empty table gives an empty result. Columns of
-    df that have one of the names are replaced.
+    df that have one of the names, in any case, are replaced. The sources are held in one array of a row, and so are the slots of a
+    cycle: meant for some hundreds of sources.
     """
-    spark = df.sparkSession
-    block, slot, pos = names
-    s, u, bucket = (free_name(df, f"__{x}") for x in ("source", "hash", "bucket"))
-    keep = [c for c in df.columns if c not in names]
-    rows = df.withColumns({s: F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null")), u: F.xxhash64(*order_by, F.lit(3))})
+    s, u, bucket, i, c, cycles, nb, inside, before_it, rank_in, block, j, k, g, at = (free_name(df, f"__{x}", *names) for x in ("source", "hash", "bucket", "i", "c", "cycles", "nb", "in", "before", "rank", "block", "j", "k", "g", "at"))
+    keep, by = kept_columns(df, names), [quoted(x) for x in order_by]
+    rows = df.withColumns({s: F.coalesce(F.concat(F.lit("s"), quoted(source).cast("string")), F.lit("null")), u: F.xxhash64(*by, F.lit(3))})
     counts = rows.groupBy(F.col(s).alias("s")).agg(F.count(F.lit(1)).alias("n"))
     plan = source_plan(counts, weights, block_rows, resolution, power)
     few = counts.count() <= BROADCAST_SOURCES
     sized = (lambda x: F.broadcast(x)) if few else (lambda x: x)
 
     # the rank of a row in its source: buckets of some hundred rows (4096 buckets at most), their sums, and the rank in the bucket
-    each = plan.select("cycles", F.inline("all")).withColumn("__nb", F.least(F.lit(4096), F.ceil(F.col("n") / 512)).cast("long"))
-    each = each.select(F.col("s").alias(s), F.col("i").alias("__i"), F.col("c").alias("__c"), F.col("cycles").alias("__cycles"), "__nb")
-    rows = rows.join(sized(each), s).withColumn(bucket, F.pmod(F.col(u), F.col("__nb")))
-    sums = rows.groupBy(s, bucket).agg(F.count(F.lit(1)).alias("__in"))
+    each = plan.select(F.col("cycles").alias(cycles), F.inline("all"))
+    each = each.select(F.col("s").alias(s), F.col("i").alias(i), F.col("c").alias(c), cycles, F.least(F.lit(4096), F.ceil(F.col("n") / 512)).cast("long").alias(nb))
+    rows = rows.join(sized(each), s).withColumn(bucket, F.pmod(F.col(u), F.col(nb)))
+    sums = rows.groupBy(s, bucket).agg(F.count(F.lit(1)).alias(inside))
     before = Window.partitionBy(s).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(s, bucket, F.coalesce(F.sum("__in").over(before), F.lit(0).cast("long")).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy(s, bucket).orderBy(u, *order_by))
-    rows = rows.withColumn("__rank", rank).join(sums, [s, bucket]).withColumn("__rank", F.col("__before") + F.col("__rank") - 1)
-    rows = rows.withColumn(block, F.floor(F.col("__rank") / block_rows))
-    cycle = F.floor(F.col(block) / F.col("__c"))
-    rows = rows.withColumns({"__j": cycle, "__k": F.pmod(F.col(block), F.col("__c"))}).withColumn("__g", F.size(F.filter("__cycles", lambda x: x <= F.col("__j"))) - 1)
-    laid = patterns(plan).select(F.col("g").alias("__g"), F.col("i").alias("__i"), F.col("k").alias("__k"), "t", "first", "slots", "base")
-    laid = laid.select("__g", "__i", "__k", F.struct("t", "first", "slots", "base").alias("__at"))
-    rows = rows.join(sized(laid), ["__g", "__i", "__k"])
-    rows = rows.withColumn(slot, F.col("__at.base") + (F.col("__j") - F.col("__at.first")) * F.col("__at.slots") + F.col("__at.t"))
-    return rows.withColumn(pos, F.col(slot) * block_rows + F.pmod(F.col("__rank"), F.lit(block_rows))).select(*keep, block, slot, pos)
+    sums = sums.select(s, bucket, F.coalesce(F.sum(inside).over(before), F.lit(0).cast("long")).alias(before_it))
+    rank = F.row_number().over(Window.partitionBy(s, bucket).orderBy(u, *by))
+    rows = rows.withColumn(rank_in, rank).join(sums, [s, bucket]).withColumn(rank_in, F.col(before_it) + F.col(rank_in) - 1)
+    rows = rows.withColumn(block, F.floor(F.col(rank_in) / block_rows))
+    cycle = F.floor(F.col(block) / F.col(c))
+    rows = rows.withColumns({j: cycle, k: F.pmod(F.col(block), F.col(c))}).withColumn(g, F.size(F.filter(cycles, lambda x: x <= F.col(j))) - 1)
+    laid = patterns(plan).select(F.col("g").alias(g), F.col("i").alias(i), F.col("k").alias(k), F.struct("t", "first", "slots", "base").alias(at))
+    rows = rows.join(sized(laid), [g, i, k])
+    where = F.col(at)
+    slot = where["base"] + (F.col(j) - where["first"]) * where["slots"] + where["t"]
+    return rows.select(*keep, F.col(block).alias(names[0]), slot.alias(names[1]), (slot * block_rows + F.pmod(F.col(rank_in), F.lit(block_rows))).alias(names[2]))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelweave.llm.common import free_name, staged
+from labelweave.llm.common import free_name, kept_columns, staged, text_or_empty
 
 Key = tuple[int, int, int]
 
@@ -60,19 +60,20 @@ def shard_records(
 
     Records are ordered by the two long expressions in key, ties by their place in the input. Shard borders fall at
     equal numbers of summed size, so two shards differ by less than the two largest records. Nulls in a key sort first.
-    Every row is kept; rows that repeat each get a slot; an empty table gives an empty result. Columns of df that have
-    one of the names are replaced. The driver holds ranges_per_shard * n_shards (or one per range_rows rows)
+    Every row is kept; rows that repeat each get a slot; an empty table gives an empty result. A border falls where the sizes
+    say, so it may part records that are equal in the first key. Columns of df that have one of the names, in any case,
+    are replaced. The driver holds ranges_per_shard * n_shards (or one per range_rows rows)
     boundaries and about oversample sampled keys for each.
     """
     spark = df.sparkSession
-    rid, k1, k2, k3 = (free_name(df, f"__{x}") for x in ("range", "k1", "k2", "k3"))
-    size_name, shard_name, slot_name = names
+    rid, k1, k2, k3, size_name, shard_name, chance, b_before, n_before, end, rank, first = (free_name(df, f"__{x}", *names) for x in ("range", "k1", "k2", "k3", "size", "shard", "chance", "b", "n", "end", "rank", "first"))
+    kept = kept_columns(df, names)
     least = F.lit(-(2**63)).cast("long")
     keyed = df.withColumns({size_name: size.cast("long"), k1: F.coalesce(key[0].cast("long"), least), k2: F.coalesce(key[1].cast("long"), least), k3: F.monotonically_increasing_id()})
     keyed = staged(keyed, "shard-records")
     rows, total = keyed.agg(F.count(F.lit(1)), F.sum(size_name)).first()
     if not rows:
-        return keyed.select(*[c for c in df.columns if c not in names], size_name, F.lit(0).alias(shard_name), F.lit(0).cast("long").alias(slot_name))
+        return keyed.select(*kept, F.col(size_name).alias(names[0]), F.lit(0).alias(names[1]), F.lit(0).cast("long").alias(names[2]))
     n_ranges = max(n_shards * ranges_per_shard, -(-rows // range_rows))
     # weight of a row: its share of the size and of the rows, so that ranges are bounded in both
     weight = (F.col(size_name) / F.lit(float(total or 1)) + F.lit(1.0 / rows)) / 2
@@ -80,7 +81,7 @@ def shard_records(
 
     def sample(records: DataFrame, share: float, parts: int) -> list[tuple[Key, float]]:
         wanted = F.least(F.lit(1.0), weight * F.lit(oversample * parts / share))
-        drawn = records.withColumn("__p", wanted).where(draw < F.col("__p")).select(k1, k2, k3, (weight / F.col("__p")).alias("m"))
+        drawn = records.withColumn(chance, wanted).where(draw < F.col(chance)).select(k1, k2, k3, (weight / F.col(chance)).alias("m"))
         return [((r[0], r[1], r[2]), r[3]) for r in drawn.collect()]
 
     bounds = _quantiles(sample(keyed, 1.0, n_ranges), n_ranges)
@@ -103,22 +104,22 @@ def shard_records(
     stats.sort(key=lambda r: r[rid])
     before_b = np.concatenate([[0], np.cumsum([r["b"] for r in stats])])
     before_n = np.concatenate([[0], np.cumsum([r["n"] for r in stats])])
-    starts = spark.createDataFrame([(r[rid], int(b), int(n)) for r, b, n in zip(stats, before_b, before_n)], f"`{rid}` int, __b long, __n long")
+    starts = spark.createDataFrame([(r[rid], int(b), int(n)) for r, b, n in zip(stats, before_b, before_n)], f"{rid} int, {b_before} long, {n_before} long")
     w = Window.partitionBy(rid).orderBy(k1, k2, k3)
     placed = (
         located.join(F.broadcast(starts), rid)  # one row for each range: bounded above
-        .withColumn("__end", F.col("__b") + F.sum(size_name).over(w))
-        .withColumn("__rank", F.col("__n") + F.row_number().over(w) - 1)
-        .withColumn(shard_name, F.least(F.lit(n_shards - 1), F.floor((2 * F.col("__end") - F.col(size_name)) * F.lit(n_shards) / F.lit(2 * (total or 1)))).cast("int"))
+        .withColumn(end, F.col(b_before) + F.sum(size_name).over(w))
+        .withColumn(rank, F.col(n_before) + F.row_number().over(w) - 1)
+        .withColumn(shard_name, F.least(F.lit(n_shards - 1), F.floor((2 * F.col(end) - F.col(size_name)) * F.lit(n_shards) / F.lit(2 * (total or 1)))).cast("int"))
     )
-    firsts = placed.groupBy(shard_name).agg(F.min("__rank").alias("__first"))
-    return placed.join(F.broadcast(firsts), shard_name).withColumn(slot_name, F.col("__rank") - F.col("__first")).select(*[c for c in df.columns if c not in names], size_name, shard_name, slot_name)
+    firsts = placed.groupBy(shard_name).agg(F.min(rank).alias(first))  # a row for each shard
+    return placed.join(F.broadcast(firsts), shard_name).select(*kept, F.col(size_name).alias(names[0]), F.col(shard_name).alias(names[1]), (F.col(rank) - F.col(first)).alias(names[2]))
 
 
 def content_key(text: str = "text") -> Column:
     """A long from the text alone: equal texts lie side by side."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text_or_empty(text).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def text_size(text: str = "text") -> Column:
-    return F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 1
+    return F.octet_length(text_or_empty(text)).cast("long") + 1

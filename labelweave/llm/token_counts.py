@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import free_name, staged
+from labelweave.llm.common import quoted, staged
 
 #: A pre-token: starts with a line break or with spaces; the marker character counts as a space.
 PRE_TOKEN = re.compile("\n[^ \n]*| +[^ \n]*")
@@ -68,7 +68,7 @@ def _distinct(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterato
 
 def piece_table(docs: DataFrame, text: str, model_path: str) -> DataFrame:
     """(piece, n, pieces): every distinct pre-token of the corpus, its occurrences and its pieces."""
-    found = docs.select(F.col(text).cast("string")).mapInArrow(_distinct, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    found = docs.select(quoted(text).cast("string")).mapInArrow(_distinct, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
@@ -103,9 +103,9 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text", most_freq
     pieces = piece_table(docs, text, model_path)
     cut, common = frequent(pieces, most_frequent)
     shared = spark.sparkContext.broadcast(common)  # most_frequent entries at most
-    row, key, add, carried = (free_name(docs, f"__{x}") for x in ("row", "piece", "add", "carried"))
-    kept = [c for c in docs.columns if c not in (text, name)]
-    rows = docs.select(F.monotonically_increasing_id().alias(row), F.col(text).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias(carried) if kept else F.lit(None).cast("struct<none:int>").alias(carried))
+    row, key, add, carried, total = "row", "piece", "add", "carried", "total"  # the columns of docs are fields of carried
+    kept = [c for c in docs.columns if c.lower() not in (text.lower(), name.lower())]
+    rows = docs.select(F.monotonically_increasing_id().alias(row), quoted(text).cast("string").alias("text"), F.struct(*[quoted(c).alias(f"c{n}") for n, c in enumerate(kept)]).alias(carried) if kept else F.lit(None).cast("struct<none:int>").alias(carried))
     schema = rows.schema
     out_type = f"{row} long, {key} string, {add} long, {carried} {schema[carried].dataType.simpleString()}"
 
@@ -140,5 +140,5 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text", most_freq
 
     parts = rows.mapInArrow(count, out_type)
     rare = pieces.where(F.floor(F.log2("n") * 8) < cut).select(F.col("piece").alias(key), "pieces")
-    summed = parts.join(rare, key, "left").groupBy(row).agg(F.sum(F.col(add) * F.coalesce("pieces", F.lit(1))).alias(name), F.first(carried, ignorenulls=True).alias(carried))
-    return summed.select(*[F.col(carried)[c].alias(c) for c in kept], F.col(name))
+    summed = parts.join(rare, key, "left").groupBy(row).agg(F.sum(F.col(add) * F.coalesce("pieces", F.lit(1))).alias(total), F.first(carried, ignorenulls=True).alias(carried))
+    return summed.select(*[F.col(carried)[f"c{n}"].alias(c) for n, c in enumerate(kept)], F.col(total).alias(name))
