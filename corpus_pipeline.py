@@ -50,7 +50,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows in the order of a mixture of their sources, each weighing the square root of its rows."""
     mixed = mix_sources(docs, names=("__block", "__slot", "__pos"))
-    return mixed.repartitionByRange("__pos").sortWithinPartitions("__pos").select(*_columns(docs))
+    # positions are known and dense, so a row's partition is too: nothing has to be sampled, or made twice for it
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.lit(parts - 1), F.floor(F.col("__pos") * parts / F.lit(docs.count() + 1))).cast("int")
+    return mixed.repartitionById(parts, part).sortWithinPartitions("__pos").select(*_columns(docs))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
