@@ -94,8 +94,8 @@ def a2_macro_summary(spark, d):
     return votes.macro_summary(_predictions(spark, d), LABELS)
 
 
-POLICY_SQL = """pol AS (SELECT *, 'full' AS policy FROM responses UNION ALL SELECT *, 'cheapest' FROM responses WHERE model_id='tiny'
-  UNION ALL SELECT *, 'strongest' FROM responses WHERE model_id='expert' UNION ALL SELECT *, 'three_cheapest' FROM responses WHERE model_id IN ('tiny','fast','balanced')),
+POLICY_SQL = """pol AS (SELECT *, 'full' AS policy FROM responses UNION ALL SELECT *, 'cheapest' FROM responses WHERE model_id='nano'
+  UNION ALL SELECT *, 'strongest' FROM responses WHERE model_id='expert' UNION ALL SELECT *, 'three_cheapest' FROM responses WHERE model_id IN ('nano','fast','balanced')),
 per AS (SELECT policy, item_id, sum(cost) AS cost, count(*) AS models, max(latency_ms) AS parallel, sum(latency_ms) AS serial FROM pol GROUP BY 1,2)"""
 
 
@@ -104,7 +104,7 @@ round(quantile_cont(parallel,0.95),6) AS p95_parallel_ms, round(avg(serial),6) A
 def a3_policy_summary(spark, d):
     r = _responses(spark, d)
     names = F.filter(
-        F.array(F.lit("full"), F.when(F.col("model_id") == "tiny", F.lit("cheapest")), F.when(F.col("model_id") == "expert", F.lit("strongest")), F.when(F.col("model_id").isin("tiny", "fast", "balanced"), F.lit("three_cheapest"))),
+        F.array(F.lit("full"), F.when(F.col("model_id") == "nano", F.lit("cheapest")), F.when(F.col("model_id") == "expert", F.lit("strongest")), F.when(F.col("model_id").isin("nano", "fast", "balanced"), F.lit("three_cheapest"))),
         lambda x: x.isNotNull(),
     )
     return votes.policy_summary(r.withColumn("policy", F.explode(names)))
@@ -316,26 +316,6 @@ def j7_lookback_hop(spark, d):
     return joins.look_back(a, e.select("event_id", F.col("host").alias("entity"), "ms"), 86_400_000, 5)
 
 
-STEP_SQL = "st AS (SELECT event_id AS step, day, CASE WHEN event_id%2=0 THEN host END AS host, ms AS step_ms FROM ev WHERE event_id%40=7)"
-
-
-@query(f"""WITH {EVENTS}, {STEP_SQL}, so AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY step_ms, step) AS o FROM st),
-l AS (SELECT e.event_id AS id, e.day, e.host, e.ms, (SELECT count(*) FROM st WHERE st.day=e.day AND st.step_ms<e.ms) AS pos FROM ev e WHERE e.event_id%10=3),
-m AS (SELECT id, step, abs(ms-step_ms) AS delta_ms, row_number() OVER (PARTITION BY id ORDER BY abs(ms-step_ms), step_ms, step) AS rn FROM l JOIN so ON so.day=l.day AND so.o BETWEEN pos-1 AND pos+2 AND (so.host IS NULL OR so.host=l.host))
-SELECT id, step, delta_ms FROM m WHERE rn=1 AND delta_ms <= 7200000""")
-def j8_nearest_step(spark, d):
-    e = t.events(spark, d)
-    steps = e.where("event_id % 40 = 7").select(F.col("event_id").alias("step"), "day", F.when(F.col("event_id") % 2 == 0, F.col("host")).alias("host"), F.col("ms").alias("step_ms"))
-    return joins.nearest(e.where("event_id % 10 = 3").select(F.col("event_id").alias("id"), "day", "host", "ms"), steps, ["day"], 2, 7_200_000)
-
-
-@query(f"WITH {EVENTS}, {STEP_SQL} SELECT DISTINCT e.event_id, s.step FROM ev e JOIN st s ON e.day=s.day AND e.action=(SELECT action FROM ev x WHERE x.event_id=s.step) AND abs(e.ms-s.step_ms)<=1800000")
-def j10_interval(spark, d):
-    e = t.events(spark, d)
-    steps = e.where("event_id % 40 = 7").select(F.col("event_id").alias("step"), "day", "action", F.col("ms").alias("step_ms"))
-    return joins.within(e.select("event_id", "day", "action", "ms"), steps, ["day", "action"], 1_800_000)
-
-
 # ordered rows
 
 W1_SQL = """one AS (SELECT 'host' AS rel, host::VARCHAR AS val, event_id, ms, 0.08::DOUBLE AS w FROM ev UNION ALL SELECT 'entity', object::VARCHAR, event_id, ms, 1.0::DOUBLE FROM ev),
@@ -431,13 +411,6 @@ def w12_runs(spark, d):
     return temporal.longest_runs(t.events(spark, d), "day", ["ms", "event_id"], "corpus")
 
 
-@query(f"""WITH {EVENTS}, s AS (SELECT event_id, day, host%7 AS h, ms FROM ev WHERE event_id%40=7), n AS (SELECT day, event_id AS step, lead(event_id) OVER g AS nxt, h, lead(h) OVER g AS nh FROM s WINDOW g AS (PARTITION BY day ORDER BY ms, event_id))
-SELECT day, step, nxt AS next, CASE WHEN h=nh THEN 'same_host' ELSE 'cross_host' END AS relation FROM n WHERE nxt IS NOT NULL""")
-def w13_adjacent(spark, d):
-    s = t.events(spark, d).where("event_id % 40 = 7").select("day", "event_id", "ms", F.array(F.col("host") % 7).alias("hosts"))
-    return temporal.adjacent(s, "day", ["ms", "event_id"], "event_id", "hosts")
-
-
 # graphs
 
 
@@ -456,15 +429,6 @@ def _provenance(spark, d):
     return graphs.provenance(t.events(spark, d).select("event_id", "ms", F.col("host").alias("actor"), "object", F.col("corpus").alias("host")))
 
 
-SEEDS = "event_id % 500 = 3"
-HOP_SQL = f"h0 AS (SELECT event_id AS node, 0::BIGINT AS distance FROM ev WHERE {SEEDS}), h1 AS (SELECT DISTINCT nbr AS node, 1::BIGINT AS distance FROM adj JOIN h0 USING (node)), h2 AS (SELECT DISTINCT nbr AS node, 2::BIGINT AS distance FROM adj JOIN h1 USING (node)), h3 AS (SELECT DISTINCT nbr AS node, 3::BIGINT AS distance FROM adj JOIN h2 USING (node))"
-
-
-@query(f"WITH {EVENTS}, {W1_SQL}, {ADJ_SQL}, {HOP_SQL} SELECT node, min(distance) AS distance FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY 1")
-def g3_k_hop(spark, d):
-    return graphs.k_hop(graphs.adjacency(_edges(spark, d)), t.events(spark, d).where(SEEDS).select(F.col("event_id").alias("node")), 3)
-
-
 @query(f"WITH {EVENTS}, {W1_SQL}, {ADJ_SQL} SELECT node, nbr, weight FROM adj")
 def g4_adjacency(spark, d):
     return graphs.adjacency(_edges(spark, d))
@@ -511,11 +475,6 @@ def g10_belief_prop(spark, d):
     return graphs.belief_propagation(graphs.kept(graphs.adjacency(_edges(spark, d))), _values(spark, d), 0.4)
 
 
-@query(f"WITH {EVENTS}, {W1_SQL}, n AS (SELECT event_id AS node FROM ev WHERE event_id % 100 <> 1) SELECT DISTINCT node FROM (SELECT unnest([src,dst]) AS node FROM edges) WHERE node NOT IN (SELECT node FROM n)")
-def j18_dangling(spark, d):
-    return joins.dangling(_edges(spark, d), t.events(spark, d).where("event_id % 100 <> 1").select(F.col("event_id").alias("node")))
-
-
 # operational metrics
 
 PRED_SQL = f"pe AS (SELECT *, corpus='attack' AS gold, {u('$$pred|$$||event_id')} < CASE WHEN corpus='attack' THEN 0.4 ELSE 0.1 END AS pred FROM ev)".replace("$$", "'")
@@ -536,17 +495,6 @@ def a5_host_detection(spark, d):
     return a.join(b).withColumn("false_alerts_per_hour", F.round(F.col("false_alerts") / F.col("benign_hours"), 6))
 
 
-@query(f"""WITH {EVENTS}, {STEP_SQL}, o AS (SELECT day, step, step_ms, step_ms + CAST(floor({u("'obs|'||step")}*14400000) AS BIGINT) AS seen FROM st)
-SELECT a.day, count(*) AS pairs, count(*) FILTER (a.seen<>b.seen) AS comparable, count(*) FILTER (a.seen<b.seen) AS concordant FROM o a JOIN o b ON a.day=b.day AND (a.step_ms, a.step) < (b.step_ms, b.step) GROUP BY 1""")
-def a18_timeline(spark, d):
-    s = t.events(spark, d).where("event_id % 40 = 7").select("day", F.col("event_id").alias("step"), F.col("ms").alias("step_ms"))
-    o = s.withColumn("seen", F.col("step_ms") + F.floor(unit_draw(F.concat(F.lit("obs|"), F.col("step"))) * 14400000))
-    a, b = o.select("day", *[F.col(c).alias("a_" + c) for c in ("step", "step_ms", "seen")]), o
-    p = a.join(b, "day").where(F.struct("a_step_ms", "a_step") < F.struct("step_ms", "step"))
-    c = lambda x: F.sum(x.cast("long"))
-    return p.groupBy("day").agg(F.count(F.lit(1)).alias("pairs"), c(F.col("a_seen") != F.col("seen")).alias("comparable"), c(F.col("a_seen") < F.col("seen")).alias("concordant"))
-
-
 # rows
 
 
@@ -617,14 +565,6 @@ def a15_shared_ids(spark, d):
     return t.events(spark, d).groupBy("object").agg(F.count_distinct("corpus").alias("k")).where("k > 1").select("object")
 
 
-@query(f"""WITH {EVENTS}, {STEP_SQL}, x AS (SELECT s.step, e.event_id, e.ms, row_number() OVER (PARTITION BY s.step ORDER BY e.ms, e.event_id) AS rn FROM st s JOIN ev e ON e.day=s.day AND e.object%20=s.step%20) SELECT step, event_id AS first_event, ms AS first_ms FROM x WHERE rn=1""")
-def a20_first_detection(spark, d):
-    e = t.events(spark, d)
-    s = e.where("event_id % 40 = 7").select(F.col("event_id").alias("step"), "day", (F.col("event_id") % 20).alias("k"))
-    x = s.join(e.select("event_id", "ms", "day", (F.col("object") % 20).alias("k")), ["day", "k"]).groupBy("step").agg(F.min(F.struct("ms", "event_id")).alias("m"))
-    return x.select("step", F.col("m.event_id").alias("first_event"), F.col("m.ms").alias("first_ms"))
-
-
 @query(f"""WITH {EVENTS}, {W1_SQL}, {ADJ_SQL}, g AS (SELECT node, count(*) AS deg FROM adj GROUP BY 1), n AS (SELECT count(*) AS n FROM ev), e AS (SELECT count(*) AS m FROM edges)
 SELECT n, m AS edges, (SELECT n-count(*) FROM g) AS isolates, round(2.0*m/n,6) AS mean_degree, (SELECT max(deg) FROM g) AS max_degree, round(2.0*m/(n::DOUBLE*(n-1)),9) AS density FROM n, e""")
 def a21_graph_diagnostics(spark, d):

@@ -9,7 +9,7 @@ from labelweave.functions import mathx, text
 from labelweave.functions.hashing import unit_draw
 from labelweave.operators import graphs, joins
 from labelweave.plans import relational as r
-from labelweave.plans.relational import ADJ_SQL, EVENTS, ITEMS, PRED_SQL, RESPONSES, STEP_SQL, VALUE_SQL, VOTED, W1_SQL, hx, u
+from labelweave.plans.relational import ADJ_SQL, EVENTS, ITEMS, PRED_SQL, RESPONSES, VALUE_SQL, VOTED, W1_SQL, hx, u
 from labelweave.sources import tables as t
 
 QUERIES: dict = {}
@@ -24,12 +24,6 @@ def query(sql: str):
     return add
 
 
-@query(f"WITH {EVENTS} SELECT event_id FROM ev WHERE (host, action) IN (SELECT host, action FROM ev WHERE event_id % 97 = 0)")
-def j3_pair_semi(spark, d):
-    e = t.events(spark, d)
-    return e.join(e.where("event_id % 97 = 0").select("host", "action"), ["host", "action"], "left_semi").select("event_id")
-
-
 @query(f"WITH {EVENTS}, {W1_SQL} SELECT CASE WHEN (a.ms,a.event_id)<=(b.ms,b.event_id) THEN src ELSE dst END AS parent, CASE WHEN (a.ms,a.event_id)<=(b.ms,b.event_id) THEN dst ELSE src END AS child, weight FROM edges JOIN ev a ON a.event_id=src JOIN ev b ON b.event_id=dst")
 def j17_edge_direction(spark, d):
     e = t.events(spark, d)
@@ -38,14 +32,6 @@ def j17_edge_direction(spark, d):
     return m.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("parent"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("child"), "weight")
 
 
-@query(f"WITH {EVENTS}, {STEP_SQL}, o AS (SELECT step, day, step%3<>0 AS seen, lead(step) OVER (PARTITION BY day ORDER BY step_ms, step) AS nxt FROM st) SELECT a.step, a.nxt AS next FROM o a JOIN o b ON b.step=a.nxt WHERE a.seen AND b.seen")
-def j11_observable_edges(spark, d):
-    s = t.events(spark, d).where("event_id % 40 = 7").select(F.col("event_id").alias("step"), "day", "ms")
-    e = s.withColumn("next", F.lead("step").over(Window.partitionBy("day").orderBy("ms", "step"))).where("next is not null").select("step", "next")
-    seen = s.where("step % 3 <> 0").select("step")
-    return e.join(seen, "step", "left_semi").join(seen.withColumnRenamed("step", "next"), "next", "left_semi").select("step", "next")
-
-
 @query(f"WITH {EVENTS}, {PRED_SQL}, {W1_SQL}, g AS (SELECT event_id FROM pe WHERE gold), p AS (SELECT event_id FROM pe WHERE pred), ge AS (SELECT src,dst FROM edges WHERE src IN (SELECT * FROM g) AND dst IN (SELECT * FROM g)), qe AS (SELECT src,dst FROM edges WHERE src IN (SELECT * FROM p) AND dst IN (SELECT * FROM p)), c AS (SELECT count(*) AS k FROM (SELECT * FROM ge INTERSECT SELECT * FROM qe)) SELECT (SELECT count(*) FROM ge) AS gold, (SELECT count(*) FROM qe) AS predicted, k AS correct, round(CASE WHEN (SELECT count(*) FROM qe)>0 THEN k/(SELECT count(*) FROM qe)::DOUBLE ELSE 0 END,6) AS precision, round(CASE WHEN (SELECT count(*) FROM ge)>0 THEN k/(SELECT count(*) FROM ge)::DOUBLE ELSE 0 END,6) AS recall FROM c")
 def u3_edge_overlap(spark, d):
     """Edges induced by the predicted nodes against those induced by the true ones."""
@@ -67,11 +53,6 @@ def u4_difference(spark, d):
     return side("1").subtract(side("5"))
 
 
-@query(f"WITH {EVENTS} SELECT host, count(*) AS n FROM ev WHERE event_id % 7 = 0 GROUP BY 1 HAVING count(*) > 1")
-def u6_repeated_keys(spark, d):
-    return t.events(spark, d).where("event_id % 7 = 0").groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
 @query(f"""WITH {RESPONSES}, w AS (SELECT item_id, any_value(doc_id) AS doc_id, any_value(gold) AS gold, any_value(source) AS source, max(vote) FILTER (model_id='balanced')||'|'||max(vote) FILTER (model_id='expert') AS pattern FROM responses GROUP BY 1),
 x AS (SELECT lag(gold) OVER (PARTITION BY source ORDER BY doc_id) AS previous, pattern, gold FROM w), n AS (SELECT previous, pattern, gold, count(*)::DOUBLE AS n FROM x WHERE previous IS NOT NULL GROUP BY ALL),
 c AS (SELECT previous, n, sum(n) OVER (PARTITION BY previous) AS w, sum(n) OVER (PARTITION BY previous, gold) AS g, sum(n) OVER (PARTITION BY previous, pattern) AS v FROM n) SELECT previous, round(greatest(0,sum(n/w*ln(n*w/(g*v)))),6) AS mi FROM c GROUP BY 1""")
@@ -104,24 +85,6 @@ def a25_sensitivity(spark, d):
     return per.groupBy("source").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("sd"))
 
 
-@query(f"""WITH {EVENTS}, a AS (SELECT event_id AS anchor, host, ms AS t0 FROM ev WHERE event_id%200=9), m AS (SELECT anchor, event_id, CASE WHEN event_id=anchor THEN 0 ELSE 1 END AS hop, CASE action WHEN 'ERROR' THEN 0 WHEN 'PURCHASE' THEN 1 ELSE 2 END AS pr, t0-ms AS before_ms FROM a JOIN ev ON ev.host=a.host AND ms BETWEEN t0-86400000 AND t0),
-k AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY hop, pr, before_ms, event_id) AS rank FROM m) SELECT anchor, event_id, rank FROM k WHERE rank<=10""")
-def o10_evidence_rank(spark, d):
-    """Evidence of an anchor: itself first, then by kind of action, nearness and id."""
-    e = t.events(spark, d)
-    a = e.where("event_id % 200 = 9").select(F.col("event_id").alias("anchor"), F.col("host").alias("entity"), F.col("ms").alias("at"))
-    near = joins.look_back(a, e.select("event_id", F.col("host").alias("entity"), "ms"), 86_400_000, 1 << 30).select("anchor", "event_id", "before_ms", F.lit(1).alias("hop"))
-    every = near.unionByName(a.select("anchor", F.col("anchor").alias("event_id"), F.lit(0).cast("long").alias("before_ms"), F.lit(0).alias("hop"))).join(e.select("event_id", "action"), "event_id")
-    kind = F.when(F.col("action") == "ERROR", 0).when(F.col("action") == "PURCHASE", 1).otherwise(2)
-    rank = F.row_number().over(Window.partitionBy("anchor").orderBy("hop", kind, "before_ms", "event_id")).cast("long")
-    return every.withColumn("rank", rank).where("rank <= 10").select("anchor", "event_id", "rank")
-
-
-@query(f"WITH {EVENTS}, {W1_SQL} SELECT DISTINCT node, nbr FROM (SELECT src AS node, dst AS nbr FROM edges UNION ALL SELECT dst, src FROM edges) WHERE node%50=3")
-def g2_neighbours(spark, d):
-    return graphs.neighbours(r._edges(spark, d), t.events(spark, d).where("event_id % 50 = 3").select(F.col("event_id").alias("node")))
-
-
 @query(f"""WITH {EVENTS}, {W1_SQL}, {VALUE_SQL}, pc AS (SELECT CASE WHEN (a.ms,a.event_id)<=(b.ms,b.event_id) THEN src ELSE dst END AS parent, CASE WHEN (a.ms,a.event_id)<=(b.ms,b.event_id) THEN dst ELSE src END AS node, weight FROM edges JOIN ev a ON a.event_id=src JOIN ev b ON b.event_id=dst),
 m AS (SELECT pc.node, sum(weight*value)/sum(weight) AS m FROM pc JOIN va ON va.node=parent GROUP BY 1) SELECT va.node, round(ln(value/(1-value))+0.5::DOUBLE*coalesce(ln(m/(1-m)),0),6) AS score FROM va LEFT JOIN m USING (node)""")
 def g8_parent_logit(spark, d):

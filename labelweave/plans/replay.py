@@ -109,7 +109,7 @@ def d25_state_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
         waiting.append((row.source, pattern, row.gold, audited(row.doc_id, rate=row.rate)))
         return (row.rate, row.delay, row.doc_id, label, row.gold == label)
 
-    rows = _grid(panel(spark, sf_dir), rate=[1.0, 0.5], delay=[0, 5])
+    rows = _grid(panel(spark, sf_dir), rate=[1.0, 0.5, 0.25, 0.1, 0.05], delay=[0, 1, 5, 20])
     return fold(rows, ["rate", "delay"], ["doc_id"], start, step, "rate double, delay int, doc_id long, label string, right boolean")
 
 
@@ -119,21 +119,6 @@ def v6_feedback_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("rate", "delay").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("right").cast("double")), 6).alias("accuracy"))
 
 
-def v4_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cluster bootstrap of the accuracy gain of the expert over the balanced model: clusters' sums, then 200 seeded draws of whole clusters."""
-    r = t.responses(t.items(spark, sf_dir), t.models(spark)).where(F.col("model_id").isin("expert", "balanced"))
-    right = (F.col("vote") == F.col("gold")).cast("long") * F.when(F.col("model_id") == "expert", 1).otherwise(-1)
-    sums = r.groupBy("source").agg(F.sum(right).alias("gain"), F.count_distinct("doc_id").alias("n"))
-    # a cluster's multiplicity in a draw: Poisson by hash, as clusters are drawn independently of one another
-    u = (F.pmod(F.xxhash64("source", "draw"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    cuts = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) for k in range(9)])
-    times = sum((u > float(c)).cast("int") for c in cuts)
-    draws = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(200)))).withColumn("times", times)
-    each = draws.groupBy("draw").agg((F.sum(F.col("gain") * F.col("times")) / F.greatest(F.lit(1), F.sum(F.col("n") * F.col("times")))).alias("delta"))
-    q = lambda p: F.round(F.percentile("delta", F.lit(p)), 6)
-    return each.agg(q(0.025).alias("low"), q(0.5).alias("median"), q(0.975).alias("high"), F.round(F.avg((F.col("delta") > 0).cast("double")), 6).alias("p_better"))
-
-
 def t5_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decision points of a stream of events: triggers with a cooldown for each host and trigger, and a cap for each hour; rejected ones are counted, a periodic one advances its clock even then."""
 
@@ -160,4 +145,4 @@ def t5_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold(rows, ["corpus", "host"], ["ms", "event_id"], lambda row: ({}, {}), step, "corpus string, event_id long, trigger string, verdict string")
 
 
-QUERIES = {f.__name__: f for f in (d9_base_router, d34_online_majority, d25_state_switch, v6_feedback_grid, v4_bootstrap, t5_checkpoints)}
+QUERIES = {f.__name__: f for f in (d9_base_router, d34_online_majority, d25_state_switch, v6_feedback_grid, t5_checkpoints)}
