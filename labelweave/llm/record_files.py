@@ -10,7 +10,6 @@ lost task left behind are in no manifest and never read.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -129,8 +128,8 @@ class Memo:
         return list(gone - kept)
 
 
-#: A word that ends in marks after a letter of ASCII: the tokenizer always cuts between the two. Other letters may end in a combining mark once normalised, which it doesn't part from punctuation.
-MARKED = re.compile(r"(.*[A-Za-z])([.,;:!?]+)", re.DOTALL)
+#: Closing marks that the tokenizer always cuts off after a letter of ASCII. Other letters may end in a combining mark once normalised, which it doesn't part from punctuation.
+MARKS = ".,;:!?"
 
 
 class WordEncoder:
@@ -162,14 +161,14 @@ class WordEncoder:
         return [x.tobytes() for x in np.split(ids, cut)]
 
     def _learn(self, words: list[str]) -> None:
-        parts = []
+        parts, simple = [], lambda x: x.isascii() or max(x) < "\u0130"  # up to there lower case is a matter of one character for one
         for w in words:
-            m = MARKED.fullmatch(w)
-            core, marks = m.groups() if m else (w, "")
-            # up to here lower case is a matter of one character for one
-            parts.append((core.lower() if core and max(core) < "\u0130" else core, marks))
+            core = w.rstrip(MARKS)
+            if len(core) == len(w) or not ("a" <= core[-1:] <= "z" or "A" <= core[-1:] <= "Z"):
+                core = w
+            parts.append((core.lower() if core and simple(core) else core, w[len(core) :]))
         new = self.cores.missing({x for p in parts for x in p})
-        plain = [x for x in new if x and x.islower() and x.isalpha() and max(x) < "\u0130"]
+        plain = [x for x in new if x.isalpha() and x.islower() and simple(x)]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             self.cores.new.update(zip(part, self._together(part)))
