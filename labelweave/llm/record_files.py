@@ -121,11 +121,14 @@ class Memo:
         """Keys that aren't remembered; the others are in self.new from now on."""
         if len(self.new) > self.most:
             self.new, self.old = {}, self.new
-        gone = keys - self.new.keys()
-        kept = gone & self.old.keys()
-        for k in kept:
-            self.new[k] = self.old[k]
-        return list(gone - kept)
+        new, old, out = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    out.append(k)
+        return out
 
 
 #: Closing marks that the tokenizer always cuts off after a letter of ASCII. Other letters may end in a combining mark once normalised, which it doesn't part from punctuation.
@@ -158,25 +161,27 @@ class WordEncoder:
         cut = np.flatnonzero(np.diff(word)) + 1
         if len(cut) + 1 != len(words):
             return self._bytes(words)
-        return [x.tobytes() for x in np.split(ids, cut)]
+        raw, cut = ids.tobytes(), (cut * ids.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *cut], [*cut, len(raw)])]
 
     def _learn(self, words: list[str]) -> None:
-        parts, simple = [], lambda x: x.isascii() or max(x) < "\u0130"  # up to there lower case is a matter of one character for one
+        cores, marks, simple = [], [], lambda x: max(x) < "\u0130"  # up to there lower case is a matter of one character for one
         for w in words:
             core = w.rstrip(MARKS)
-            if len(core) == len(w) or not ("a" <= core[-1:] <= "z" or "A" <= core[-1:] <= "Z"):
+            if core is not w and len(core) < len(w) and not ("a" <= core[-1:] <= "z" or "A" <= core[-1:] <= "Z"):
                 core = w
-            parts.append((core.lower() if core and simple(core) else core, w[len(core) :]))
-        new = self.cores.missing({x for p in parts for x in p})
-        plain = [x for x in new if x.isalpha() and x.islower() and simple(x)]
+            marks.append(w[len(core) :])
+            cores.append(core.lower() if core and (core.isascii() or simple(core)) else core)
+        new = self.cores.missing({*cores, *marks})
+        plain = [x for x in new if x.isalpha() and x.islower() and (x.isascii() or simple(x))]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             self.cores.new.update(zip(part, self._together(part)))
         new = [x for x in new if x not in self.cores.new]
         for at in range(0, len(new), 4096):
             self.cores.new.update(zip(new[at : at + 4096], self._bytes(new[at : at + 4096])))
-        cores = self.cores.new
-        self.words.new.update(zip(words, [cores[a] + cores[b] for a, b in parts]))
+        known = self.cores.new
+        self.words.new.update(zip(words, [known[a] + known[b] if b else known[a] for a, b in zip(cores, marks)]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
