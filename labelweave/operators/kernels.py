@@ -1,7 +1,7 @@
 """Numeric steps of the online labeller: one small step at a time, on arrays, without Spark.
 
 The order of a stream decides its results, so a stream is folded row by row; plans/replay.py lets Spark run the folds of many
-streams and settings side by side, streaming/labeller.py runs the same steps on a live stream.
+streams and settings side by side, streaming/windows.py runs the same steps on a live stream.
 """
 
 from __future__ import annotations
