@@ -1,5 +1,7 @@
 import zlib
 from collections import Counter
+from fractions import Fraction
+from math import ceil, floor
 
 from pyspark.sql import functions as F
 
@@ -43,31 +45,51 @@ def test_shard_query_matches_the_contract(spark, sf):
         assert r["text_crc32"] == zlib.crc32((docs[r["doc_id"]] or "").encode()) and r["law"] == "bytes" and r["grown_shard"] is None
 
 
-def earliest_deadline_first(blocks: dict[str, int], weights: dict[str, int]) -> list[str]:
-    """Brute force, a slot at a time, cycle by cycle."""
-    left, out = dict(blocks), []
-    while any(left.values()):
-        m = {s: min(weights[s], left[s]) for s in sorted(left) if left[s]}
-        d, k = sum(m.values()), dict.fromkeys(m, 0)
-        for t in range(d):
-            s = min((s for s in m if k[s] < m[s] and k[s] * d // m[s] <= t), key=lambda s: (-(-(k[s] + 1) * d // m[s]), s))
-            k[s] += 1
-            out.append(s)
-        left = {s: n - m.get(s, 0) for s, n in left.items()}
+def windows(blocks: dict[str, int], weights: dict[str, Fraction]) -> dict[tuple[str, int], tuple[int, int]]:
+    """Release and deadline of every block, in exact fractions."""
+    slot = lambda x: sum(min(weights[s] * x, blocks[s]) for s in blocks)
+    return {(s, k): (floor(slot(k / weights[s])), ceil(slot((k + 1) / weights[s]))) for s, n in blocks.items() for k in range(n)}
+
+
+def earliest_deadline_first(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[str]:
+    """Brute force, a slot at a time, over all slots as one stretch."""
+    window, k, out = windows(blocks, weights), dict.fromkeys(sorted(blocks), 0), []
+    for t in range(sum(blocks.values())):
+        s = min((s for s in k if k[s] < blocks[s] and window[s, k[s]][0] <= t), key=lambda s: (window[s, k[s]][1], s))
+        k[s] += 1
+        out.append(s)
     return out
 
 
-def test_mixture_is_the_brute_force_schedule(spark):
-    counts = {"a": 97, "b": 31, "c": 12}
+def _mixed(spark, counts, weights, stretch):
     df = spark.createDataFrame([(i, s) for s, n in counts.items() for i in range(n)], "doc_id long, source string")
-    got = mix_sources(df, weights={"a": 0.5, "b": 0.3, "c": 0.2}, block_rows=1, resolution=10).orderBy("mix_pos").collect()
-    want = earliest_deadline_first(counts, {"a": 5, "b": 3, "c": 2})
-    assert [r["source"] for r in got] == want
-    assert sorted(r["mix_slot"] for r in got) == list(range(140))
-    seen = Counter()
-    for i, r in enumerate(got[:60], 1):  # all sources last that long
-        seen[r["source"]] += 1
-        assert all(abs(seen[s] - i * w) < 1 for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    got = mix_sources(df, weights={s: float(w) for s, w in weights.items()}, block_rows=1, stretch=stretch).orderBy("mix_pos").collect()
+    assert [r["mix_slot"] for r in got] == list(range(sum(counts.values())))
+    return got
+
+
+def test_mixture_is_the_brute_force_schedule(spark):
+    counts, weights = {"a": 97, "b": 31, "c": 12}, {"a": Fraction(1, 2), "b": Fraction(3, 10), "c": Fraction(1, 5)}
+    assert [r["source"] for r in _mixed(spark, counts, weights, 10**6)] == earliest_deadline_first(counts, weights)
+
+
+def test_every_block_lies_in_its_window_over_many_stretches(spark):
+    """Weights that no short cycle holds: no source is ever a whole block from its share, also once others have run out."""
+    cases = (
+        ({"a": 900, "b": 311, "c": 120, "d": 95, "e": 77}, {"a": Fraction(1000, 1), "b": Fraction(577, 1), "c": Fraction(311, 1), "d": Fraction(97, 1), "e": Fraction(89, 1)}),
+        ({c: 60 + 7 * i for i, c in enumerate("abcdefghijklm")} | {"z": 700}, {c: Fraction(100 + i, 3) for i, c in enumerate("abcdefghijklm")} | {"z": Fraction(700, 3)}),
+        ({"a": 400, "b": 400, "c": 400}, {"a": Fraction(1), "b": Fraction(1), "c": Fraction(1)}),
+    )
+    for counts, weights in cases:
+        window = windows(counts, weights)
+        total, seen = sum(weights.values()), Counter()
+        fewest = min(n / weights[s] for s, n in counts.items()) * total  # until then every source has blocks
+        for t, r in enumerate(_mixed(spark, counts, weights, 20)):
+            release, due = window[r["source"], r["mix_block"]]
+            assert release <= t < due
+            seen[r["source"]] += 1
+            if t + 1 <= fewest:
+                assert all(abs(seen[s] - (t + 1) * w / total) < 1 for s, w in weights.items())
 
 
 def test_mixture_keeps_all_rows_and_odd_sources(spark):
