@@ -1,4 +1,4 @@
-"""Ordered folds by source or host, so that Spark spreads the streams: sequential questions, online correlation, forward chains."""
+"""Ordered folds by source, host or day, so that Spark spreads the streams: sequential questions, online correlation, forward chains, matched controls."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from labelweave.functions.hashing import unit_draw
+from labelweave.operators.matching import Controls
 from labelweave.operators.sequential import OnlineCorrelation, RiskSequence, passed_on
 from labelweave.plans.relational import EVENTS, u
 from labelweave.plans.replay import NAMES, fold
@@ -18,6 +19,9 @@ CRITICAL, TOLERANCES = ("news", "web"), (0.01, 0.03)
 #: Time in which an event of a host or object speaks for the next, their weights, and what a belief becomes.
 GAP_MS, HOST_WEIGHT, OBJECT_WEIGHT, TRANSITION, PRIOR = 1_800_000, 0.08, 1.0, (0.1, 0.7), 0.3
 
+#: An attack's events of at least this value are the cases that controls are matched to.
+CASE_VALUE = 100
+
 
 def votes_by_model(spark, d):
     """One row for each item: votes, costs and confidences of all models."""
@@ -62,7 +66,35 @@ def g9_forward_chain(spark, d):
     return fold(rows, ["host"], ["ms", "event_id"], lambda row: {}, step, "event_id long, belief double")
 
 
-QUERIES = {f.__name__: f for f in (d26_sequential_risk, a13_online_correlation, g9_forward_chain)}
+def matching_rows(spark, d):
+    """Cases, which are attack events of a high value, and controls, which are benign events, with what they are matched by."""
+    e = t.events(spark, d)
+    case = (F.col("corpus") == "attack") & (F.col("value") >= CASE_VALUE)
+    e = e.where(case | (F.col("corpus") == "benign")).withColumn("case", F.coalesce(case, F.lit(False)))
+    return e.select("day", "case", "event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("turn"), F.coalesce("action", F.lit("")).alias("action"), F.coalesce(F.pmod("object", F.lit(10)), F.lit(-1)).cast("long").alias("kind"), F.coalesce(F.floor("value"), F.lit(0)).cast("long").alias("size"))
+
+
+def j14_matched_controls(spark, d):
+    """For each case the nearest control of its day by action, kind of object and size, each control used once, cases in the order of a hash.
+
+    A null action or object is a kind of its own, a null value counts as 0. What one case takes is gone for the next, so a day is one stream; its controls are held as ids by traits and size. A
+    case for which none is left has a null control.
+    """
+
+    def step(state, row):
+        traits, size = (row.action, row.kind), row.size
+        if not row.case:
+            state.add(row.event_id, traits, size)
+            return (row.day, row.event_id, False, None, None, None, None)
+        found = state.take(row.event_id, traits, size)
+        return (row.day, row.event_id, True, *((found[0], *found[1], found[2]) if found else (None,) * 4))
+
+    schema = "day long, event_id long, case boolean, control long, other_action long, other_kind long, gap long"
+    out = fold(matching_rows(spark, d), ["day"], ["case", "turn", "event_id"], lambda row: Controls(), step, schema)
+    return out.where("case").drop("case")
+
+
+QUERIES = {f.__name__: f for f in (d26_sequential_risk, a13_online_correlation, g9_forward_chain, j14_matched_controls)}
 SQL = {
     "g9_forward_chain": f"""WITH RECURSIVE {EVENTS}, o AS (SELECT host, event_id, ms, object, {u("'own|'||event_id")} AS own, row_number() OVER (PARTITION BY host ORDER BY ms, event_id) AS i FROM ev),
 q AS (SELECT *, lag(i) OVER (PARTITION BY host, object ORDER BY i) AS oi, lag(ms) OVER (PARTITION BY host ORDER BY i) AS hm, lag(ms) OVER (PARTITION BY host, object ORDER BY i) AS om FROM o),

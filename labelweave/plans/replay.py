@@ -35,7 +35,7 @@ def fold(rows: DataFrame, run: list[str], order: list[str], start: Callable, ste
                 if now != key:
                     key, state = now, start(row)
                 out.append(step(state, row))
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names, dtype=object)  # long ids beside nulls stay whole numbers
 
     return rows.repartition(*run).sortWithinPartitions(*run, *order).mapInPandas(go, schema)
 
