@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,19 @@ from pyspark.sql import functions as F
 SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
+@cache
+def _local_folder() -> str:
+    """One folder a process; Spark lets no session set spark.checkpoint.dir later on."""
+    return tempfile.mkdtemp(prefix="labelweave-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one, on a local master only (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="labelweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_folder()
     return root.rstrip("/")
 
 
