@@ -36,12 +36,13 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similari
     """(a, b, d): 1 - similarity of each pair (a, b), from the texts of both, those of `least` or more marked by ok. texts: ids to (id, text)."""
     pairs = staged(pairs, "pairs")
     texts = staged(texts(sized_ids(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())), "pair-texts")
+    rows = getattr(similarity, "rows", 256)  # pairs at once
     met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), rows):
+                part = batch.slice(at, rows)
                 s = similarity(part.column(2).to_pylist(), part.column(3).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(1.0 - s, pa.float64()), pa.array(s >= least - 1e-12, pa.bool_())], ["a", "b", "d", "ok"])
 
@@ -177,6 +178,8 @@ def shared_keys(items: DataFrame) -> DataFrame:
     return sent.repartitionById(parts, F.col("part")).mapInArrow(meet, "key long")
 
 
+#: Rows of a bucket up to which all of them meet in a task, and pairs that a task looks at at once.
+CROWDED, PAIRS_AT_ONCE = 256, 1 << 18
 #: Items of a bucket that lie outside its largest component, up to which they are compared with all of it, and how many of them a row holds.
 MOST_OUTSIDE, OUTSIDE_ROW = 4096, 128
 #: A sketch: three bits of each of 64 components of a signature, those of one weight in one long.
@@ -199,13 +202,20 @@ def alike(x: Column, y: Column, bins: int, least: float) -> Column:
     return (size >= F.greatest(x["n"], y["n"]) * F.lit(least) - 1e-9) & (64 - F.bit_count(differ) >= lowest)
 
 
+def least_agreeing(size: np.ndarray, bins: int, least: float) -> np.ndarray:
+    """The bound of `alike`: how many of the components of two items, the smaller of that size, must agree."""
+    p = least + (1 - least) / 8
+    full = 64 * (1 - np.exp(-size / float(bins)))
+    return np.floor(64 * (p - 4.3 * np.sqrt(p * (1 - p) / full)))
+
+
 def sketched_classes(members: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: Callable, bins: int, least: float, features: Callable) -> DataFrame:
     """(id, root) of the items that have a near-duplicate, root the least id of the class.
 
     members: key, id, n (an item's number of features), sketch (SKETCH, of a signature of `bins` components) - a row for each
     bucket that an item lies in, buckets of one item and repeated rows allowed. A staged table. texts: ids to (id, text).
     Pairs that `alike` rules out are not looked at. Every item meets its bucket's least first. What is then still apart
-    within a bucket is split by size, so that items that may be alike share a part; in each part all items meet those outside
+    meets in its bucket, if that has no more than CROWDED rows. A larger bucket is split by size, so that items that may be alike share a part; in each part all items meet those outside
     its largest component, packed in rows; only pairs that are alike and apart come out. Where more than MOST_OUTSIDE
     items are outside, rounds and rare features settle the part as in near_classes.
     """
@@ -219,11 +229,78 @@ def sketched_classes(members: DataFrame, texts: Callable[[DataFrame], DataFrame]
     seen = staged(verified(star.distinct(), texts, similarity, least), "verified")
     roots = staged(components(seen.where("ok").select("a", "b")), "roots")
 
-    # buckets of two are done; items that may be alike differ in size by less than a class, so one of the two classes of each is the other's
+    # what is apart in a bucket of bounded size meets within it
+    crowded = reps.where(F.col("c") > CROWDED).select("key")
+    n_crowded = crowded.count()
+    named = F.broadcast(crowded) if n_crowded <= BROADCAST_BUCKETS else crowded
+    held = members.join(named, "key", "left_anti") if n_crowded else members
+    tries = _bucket_pairs(held.join(_broadcast_few(roots), "id", "left").withColumn("root", F.coalesce("root", "id")), bins, least)
+    big = None
+    if n_crowded:
+        placed, parts, more = _crowded_pairs(members.join(named, "key", "left_semi"), roots, bins, least)
+        tries, big = tries.unionByName(more), parts.where(F.col("outside") > MOST_OUTSIDE).select("key")
+    found = staged(verified(tries.distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti"), texts, similarity, least), "verified")
+    discard(reps)
+    seen = seen.unionByName(found)
+    roots = _merged(roots, found.where("ok").select("a", "b"))
+    if big is None:
+        return roots
+    if not big.limit(1).count():
+        discard(placed, parts)
+        return roots
+    large = placed.join(big, "key", "left_semi").select("key", "id")
+    tops = large.groupBy("key").agg(F.min("id").alias("rep"))
+    return _what_is_apart(staged(large.join(tops, "key").select("key", "rep", "id"), "members"), roots, seen, texts, similarity, least, features)
+
+
+def _bucket_pairs(members: DataFrame, bins: int, least: float) -> DataFrame:
+    """(a, b): the pairs that share a bucket of at most CROWDED rows, have different roots and are `alike`. members: key, id, n, sketch, root."""
+
+    def pairs(key: np.ndarray, own: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        last = np.append(np.flatnonzero(key[1:] != key[:-1]), len(key) - 1)
+        after = np.repeat(last, np.diff(np.append(-1, last))) - np.arange(len(key))  # rows of the bucket that follow
+        sums = np.cumsum(after)
+        cuts = np.searchsorted(sums, np.arange(PAIRS_AT_ONCE, sums[-1] + PAIRS_AT_ONCE, PAIRS_AT_ONCE), side="right")
+        begin = 0
+        for end in np.unique(np.append(cuts, len(key))):
+            some = after[begin:end]
+            x = np.repeat(np.arange(begin, end), some)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(some) - some, some)
+            begin = end
+            small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            keep = (root[x] != root[y]) & (small >= large * least - 1e-9)
+            x, y, small = x[keep], y[keep], small[keep]
+            keep = 64 - np.bitwise_count((a[x] ^ a[y]) | (b[x] ^ b[y]) | (c[x] ^ c[y])) >= least_agreeing(small, bins, least)
+            lo, hi = np.minimum(own[x], own[y])[keep], np.maximum(own[x], own[y])[keep]
+            order = np.lexsort((hi, lo))
+            lo, hi = lo[order], hi[order]
+            new = np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))[: len(lo)]
+            yield pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new])], ["a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = [c.to_numpy() for c in batch.columns]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last bucket may go on
+            if whole:
+                yield from pairs(*(x[:whole] for x in rows))
+            held = [x[whole:] for x in rows]
+        if held is not None:
+            yield from pairs(*held)
+
+    flat = members.select("key", "id", F.col("n").cast("long").alias("n"), "sketch.a", "sketch.b", "sketch.c", "root")
+    return flat.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+
+
+def _crowded_pairs(members: DataFrame, roots: DataFrame, bins: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the crowded buckets' members: them by part, the parts that hold several components, and (a, b), the pairs of parts with at most MOST_OUTSIDE rows outside the largest that are alike and apart."""
+    # items that may be alike differ in size by less than a class, so one of the two classes of each is the other's
     size = F.floor(F.log(F.col("n")) / F.lit(-math.log(least) + 1e-9)).cast("long")
-    placed = members.join(sized(reps.where("c > 2").select("key")), "key", "left_semi").join(_broadcast_few(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = members.join(_broadcast_few(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = staged(placed.withColumn("class", F.explode(F.array(size, size + 1))).select(F.xxhash64("key", "class").alias("key"), "id", "n", "sketch", "root").distinct(), "bucket-parts")
-    discard(reps)
     by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     parts = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     parts = staged(parts.select("key", F.col("top.root").alias("top"), (F.col("c") - F.col("top.c")).alias("outside")), "parts")
@@ -240,17 +317,7 @@ def sketched_classes(members: DataFrame, texts: Callable[[DataFrame], DataFrame]
     # a row of its own for each row it meets, so that a large part is spread over tasks
     asked = placed.join(sized(parts.where(F.col("outside") <= MOST_OUTSIDE).select("key", rows.alias("rows"))), "key")
     asked = asked.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"), F.struct("id", "n", "sketch", "root").alias("own"))
-    tries = asked.join(packed, ["key", "row"]).select(F.inline(others(F.col("own")))).distinct()
-    found = staged(verified(tries.join(seen.select("a", "b"), ["a", "b"], "left_anti"), texts, similarity, least), "verified")
-    seen = seen.unionByName(found)
-    roots = _merged(roots, found.where("ok").select("a", "b"))
-    big = parts.where(F.col("outside") > MOST_OUTSIDE).select("key")
-    if not big.limit(1).count():
-        discard(placed, parts)
-        return roots
-    large = placed.join(sized(big), "key", "left_semi").select("key", "id")
-    tops = large.groupBy("key").agg(F.min("id").alias("rep"))
-    return _what_is_apart(staged(large.join(tops, "key").select("key", "rep", "id"), "members"), roots, seen, texts, similarity, least, features)
+    return placed, parts, asked.join(packed, ["key", "row"]).select(F.inline(others(F.col("own"))))
 
 
 def _broadcast_few(roots: DataFrame) -> DataFrame:
