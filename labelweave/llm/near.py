@@ -270,7 +270,8 @@ def _bucket_pairs(members: DataFrame, bins: int, least: float) -> DataFrame:
             small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
             keep = (root[x] != root[y]) & (small >= large * least - 1e-9)
             x, y, small = x[keep], y[keep], small[keep]
-            keep = 64 - np.bitwise_count((a[x] ^ a[y]) | (b[x] ^ b[y]) | (c[x] ^ c[y])) >= least_agreeing(small, bins, least)
+            differ = ((a[x] ^ a[y]) | (b[x] ^ b[y]) | (c[x] ^ c[y])).view(np.uint64)  # of signed numbers the bits of the absolute value would be counted
+            keep = 64 - np.bitwise_count(differ).astype(np.int64) >= least_agreeing(small, bins, least)
             lo, hi = np.minimum(own[x], own[y])[keep], np.maximum(own[x], own[y])[keep]
             order = np.lexsort((hi, lo))
             lo, hi = lo[order], hi[order]
