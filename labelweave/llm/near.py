@@ -36,13 +36,12 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similari
     """(a, b, d): 1 - similarity of each pair (a, b), from the texts of both, those of `least` or more marked by ok. texts: ids to (id, text)."""
     pairs = staged(pairs, "pairs")
     texts = staged(texts(sized_ids(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())), "pair-texts")
-    rows = getattr(similarity, "rows", 256)  # pairs at once
     met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), rows):
-                part = batch.slice(at, rows)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
                 s = similarity(part.column(2).to_pylist(), part.column(3).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(1.0 - s, pa.float64()), pa.array(s >= least - 1e-12, pa.bool_())], ["a", "b", "d", "ok"])
 
@@ -257,8 +256,8 @@ def _bucket_pairs(members: DataFrame, bins: int, least: float) -> DataFrame:
     """(a, b): the pairs that share a bucket of at most CROWDED rows, have different roots and are `alike`. members: key, id, n, sketch, root."""
 
     def pairs(key: np.ndarray, own: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        last = np.append(np.flatnonzero(key[1:] != key[:-1]), len(key) - 1)
-        after = np.repeat(last, np.diff(np.append(-1, last))) - np.arange(len(key))  # rows of the bucket that follow
+        bucket = np.append(0, np.cumsum(key[1:] != key[:-1])) << 32
+        after = np.searchsorted(bucket + n, bucket + np.floor(n / least + 1e-6).astype(np.int64), side="right") - np.arange(1, len(key) + 1)  # rows of the bucket that follow, up to the size that may be alike
         sums = np.cumsum(after)
         cuts = np.searchsorted(sums, np.arange(PAIRS_AT_ONCE, sums[-1] + PAIRS_AT_ONCE, PAIRS_AT_ONCE), side="right")
         begin = 0
@@ -293,7 +292,7 @@ def _bucket_pairs(members: DataFrame, bins: int, least: float) -> DataFrame:
             yield from pairs(*held)
 
     flat = members.select("key", "id", F.col("n").cast("long").alias("n"), "sketch.a", "sketch.b", "sketch.c", "root")
-    return flat.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    return flat.repartition("key").sortWithinPartitions("key", "n").mapInArrow(meet, "a long, b long").distinct()
 
 
 def _crowded_pairs(members: DataFrame, roots: DataFrame, bins: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
