@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from labelweave.llm.bag_minhash import near_duplicates
 from labelweave.llm.decontamination import decontaminate
+from labelweave.llm.fill_in_middle import fill_in_middle, restored
 from labelweave.llm.language_id import identify, page_evidence, page_text
 from labelweave.llm.line_dedup import dedup_lines
 from labelweave.llm.mixing import mix_sources
@@ -81,8 +82,22 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "class_size", "keep")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"), "code_points")
+    digest = lambda c: F.sha2(c, 256)
+    return made.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"),
+        digest(F.col("fim_text")).alias("output_sha256"),
+        digest(restored(F.col("fim_text"), F.col("form"), ("<P>", "<S>", "<M>"))).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fuzzy_lines, op2_sampled_splitters, op3_pfair_mixing, op4_decontamination, op5_token_counts, op6_exact_top_k, op7_suffix_dedup, op8_binary_records, op9_language_id, op10_bag_minhash, llm_page_language)}
+    return {f.__name__: f for f in (op1_fuzzy_lines, op2_sampled_splitters, op3_pfair_mixing, op4_decontamination, op5_token_counts, op6_exact_top_k, op7_suffix_dedup, op8_binary_records, op9_language_id, op10_bag_minhash, op12_fill_in_middle, llm_page_language)}
 
 
 def _nibble_table() -> list[int]:
@@ -125,5 +140,28 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (
+  SELECT doc_id, t, length(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM n
+), o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+    ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END AS made
+  FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars, sha256(made) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sampled_splitters": OP2_SQL, "op6_exact_top_k": OP6_SQL}
+    return {"op12_fill_in_middle": OP12_SQL, "op2_sampled_splitters": OP2_SQL, "op6_exact_top_k": OP6_SQL}
