@@ -12,6 +12,7 @@ from labelweave.llm.fill_in_middle import fill_in_middle, restored
 from labelweave.llm.language_id import identify, page_evidence, page_text
 from labelweave.llm.line_dedup import dedup_lines
 from labelweave.llm.mixing import mix_sources
+from labelweave.llm.periodic_runs import periodic_runs
 from labelweave.llm.record_files import read_records, write_records
 from labelweave.llm.sharding import content_key, shard_records, text_size
 from labelweave.llm.suffix_dedup import dedup_substrings
@@ -82,6 +83,36 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "class_size", "keep")
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Of a tenth of the documents the words from a certain one on repeat, as the contract of op11 says; words are joined by one space."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    docs = docs.withColumns({"g": F.floor(h / 10).cast("long"), "words": F.when(h % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"))})
+    docs = docs.withColumn("n", F.size("words").cast("long"))
+    a = F.col("g") % F.col("n")
+    docs = docs.withColumns({"a": F.when(F.col("n") > 0, a), "p": F.when(F.col("n") > 0, 1 + F.floor((F.col("n") - a) / (3 + F.col("g") % 8)))})
+    word = lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    tail = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), word), " ")
+    return docs.select("doc_id", F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periodic_tails(documents(spark, sf_dir).select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("top", longest)
+    length, period = F.col("top.length"), -F.col("top.q")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.s")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(length * 1000 / period).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"), "code_points")
     digest = lambda c: F.sha2(c, 256)
@@ -97,7 +128,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fuzzy_lines, op2_sampled_splitters, op3_pfair_mixing, op4_decontamination, op5_token_counts, op6_exact_top_k, op7_suffix_dedup, op8_binary_records, op9_language_id, op10_bag_minhash, op12_fill_in_middle, llm_page_language)}
+    return {f.__name__: f for f in (op1_fuzzy_lines, op2_sampled_splitters, op3_pfair_mixing, op4_decontamination, op5_token_counts, op6_exact_top_k, op7_suffix_dedup, op8_binary_records, op9_language_id, op10_bag_minhash, op11_periodic_runs, op12_fill_in_middle, llm_page_language)}
 
 
 def _nibble_table() -> list[int]:
