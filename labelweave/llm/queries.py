@@ -12,6 +12,7 @@ from labelweave.llm.fill_in_middle import fill_in_middle, restored
 from labelweave.llm.language_id import identify, page_evidence, page_text
 from labelweave.llm.line_dedup import dedup_lines
 from labelweave.llm.mixing import mix_sources
+from labelweave.llm.ngram_join import ngram_components
 from labelweave.llm.periodic_runs import periodic_runs
 from labelweave.llm.record_files import read_records, write_records
 from labelweave.llm.sharding import content_key, shard_records, text_size
@@ -127,8 +128,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fuzzy_lines, op2_sampled_splitters, op3_pfair_mixing, op4_decontamination, op5_token_counts, op6_exact_top_k, op7_suffix_dedup, op8_binary_records, op9_language_id, op10_bag_minhash, op11_periodic_runs, op12_fill_in_middle, llm_page_language)}
+    return {f.__name__: f for f in (op1_fuzzy_lines, op2_sampled_splitters, op3_pfair_mixing, op4_decontamination, op5_token_counts, op6_exact_top_k, op7_suffix_dedup, op8_binary_records, op9_language_id, op10_bag_minhash, op11_periodic_runs, op12_fill_in_middle, op13_ngram_jaccard, llm_page_language)}
 
 
 def _nibble_table() -> list[int]:
