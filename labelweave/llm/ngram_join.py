@@ -29,7 +29,9 @@ SLICE_BYTES, WORD_BYTES = 4 << 20, 16 << 20
 #: A bitmap has between so many bits, twice as many as the set has members in between.
 LEAST_BITS, MOST_BITS = 64, 1 << 14
 #: Rounds in which what is apart in a tile meets one item of its largest component; rows of a block; bytes of a block's comparison.
-ROUNDS, BLOCK, AT_ONCE = 3, 256, 1 << 24
+ROUNDS, BLOCK, AT_ONCE = 2, 256, 1 << 24
+#: Members up to which a set's bitmap goes into the blocks.
+SHORT = 512
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -236,12 +238,13 @@ def _near_enough(n: str, m: str, percent: int):
 
 
 def _block_pairs(placed: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a tile in different components, one of them outside the largest, whose bitmaps may overlap enough.
+    """(a, b): pairs of a tile in different components, one of them outside the largest, whose sizes and bitmaps allow a link.
 
-    A tile's rows lie in blocks of BLOCK or so; each block of what is outside meets every block of the tile.
+    A tile's rows lie in blocks of BLOCK or so; each block of what is outside meets every block of the tile. Bitmaps of
+    sets of more than SHORT members stay out of the blocks: such a set lies in many tiles, and its pairs are looked at once, later.
     """
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
-    rows = placed.join(mixed, "tile").join(sets.select("id", "bits"), "id")
+    rows = placed.join(mixed, "tile").join(sets.select("id", F.when(F.col("n") <= SHORT, F.col("bits")).alias("bits")), "id")
     item = F.struct("id", "n", "root", "own", "bits")
     packed = lambda x, c, k: x.groupBy("tile", F.pmod(F.xxhash64("id"), blocks(c)).alias(k)).agg(F.collect_list(item).alias(f"{k}s"), F.first("top").alias("top"))
     left = staged(packed(rows.where("root <> top"), "outside", "x"), "ngram-outside")
@@ -251,7 +254,22 @@ def _block_pairs(placed: DataFrame, mixed: DataFrame, sets: DataFrame, percent:
     def columns(lists: pa.ListArray) -> tuple:
         """Of all rows' blocks one after another: where each begins, and their items' id, n, root, own and bits."""
         items = lists.flatten()
-        return np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy())), *(items.field(k).to_numpy(zero_copy_only=False) for k in range(4)), items.field(4).to_pylist()
+        return np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy())), *(items.field(k).to_numpy(zero_copy_only=False) for k in range(4)), np.array([*items.field(4).to_pylist(), None], object)[:-1]
+
+    def may_link(n: np.ndarray, p: np.ndarray, m: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """For each pair of n and m whether sizes and bitmaps allow a link; sets without a bitmap go by size alone."""
+        keep = linked(np.minimum(n[:, None], m[None]), n[:, None], m[None], percent)
+        i, j = np.flatnonzero(p != None), np.flatnonzero(w != None)  # noqa: E711
+        if len(i) and len(j) and keep[np.ix_(i, j)].any():
+            width = min(map(len, (*p[i], *w[j])))
+            x, y = unpacked(p[i], width), unpacked(w[j], width)
+            own, other = np.bitwise_count(x).sum(1, dtype=np.int64), np.bitwise_count(y).sum(1, dtype=np.int64)
+            step = max(1, AT_ONCE // (len(y) * width))
+            for a in range(0, len(x), step):
+                k = i[a : a + step]
+                both = np.bitwise_count(x[a : a + step, None, :] & y[None]).sum(2, dtype=np.int64)
+                keep[np.ix_(k, j)] &= linked(bound(n[k][:, None], own[a : a + step, None], m[j][None], other[None], both), n[k][:, None], m[j][None], percent)
+        return keep
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,21 +277,17 @@ def _block_pairs(placed: DataFrame, mixed: DataFrame, sets: DataFrame, percent:
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for at, top in enumerate(tops):
                 (i, n, r, o, p), (j, m, s, q, w) = ([c[x[0][at] : x[0][at + 1]] for c in x[1:]] for x in (xs, ys))
-                width = min(map(len, (*p, *w)))
-                x, y = unpacked(p, width), unpacked(w, width)
-                own, other = np.bitwise_count(x).sum(1, dtype=np.int64), np.bitwise_count(y).sum(1, dtype=np.int64)
-                step = max(1, AT_ONCE // (len(y) * width))
-                for a in range(0, len(x), step):
-                    b = min(len(x), a + step)
-                    # pairs of two guests meet in the band below; of two outside, each is seen from either side
-                    keep = (r[a:b, None] != s[None]) & (o[a:b, None] | q[None]) & ((s[None] == top) | (i[a:b, None] < j[None]))
-                    if keep.any():
-                        both = np.bitwise_count(x[a:b, None, :] & y[None]).sum(2, dtype=np.int64)
-                        keep &= linked(bound(n[a:b, None], own[a:b, None], m[None], other[None], both), n[a:b, None], m[None], percent)
-                        u, v = np.nonzero(keep)
-                        found.append((np.minimum(i[a:b][u], j[v]), np.maximum(i[a:b][u], j[v])))
+                # pairs of two guests meet in the band below; of two outside, each is seen from either side
+                keep = (r[:, None] != s[None]) & (o[:, None] | q[None]) & ((s[None] == top) | (i[:, None] < j[None]))
+                if keep.any():
+                    u, v = np.nonzero(keep & may_link(n, p, m, w))
+                    found.append((np.minimum(i[u], j[v]), np.maximum(i[u], j[v])))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+                a, b = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
     return met.mapInArrow(compare, "a long, b long").distinct()
 
