@@ -94,10 +94,11 @@ class RiskSequence:
                 worst = max(worst, (same + 1) / (n + 2))
         return max(0.05, 1 - self.penalty * worst)
 
-    def step(self, votes: dict[str, str], costs: dict[str, float], confidences: dict[str, float | None], tolerance: float) -> dict:
+    def step(self, votes: dict[str, str], costs: dict[str, float], confidences: dict[str, float | None], tolerance: float, start: np.ndarray | None = None) -> dict:
+        """start: what is believed before any vote; flat if nothing is."""
         k = len(self.labels)
         accuracy = {m: min(1 - 1e-6, max(1 / k + 1e-6, self.trust[m].bound(self.z, self.seen_least))) for m in self.models}
-        belief, asked, left = np.full(k, 1 / k), [], set(self.models)
+        belief, asked, left = np.full(k, 1 / k) if start is None else start, [], set(self.models)
         while left:
             if self.fallback in left and len(asked) >= self.after_models and 1 - belief.max() > self.trigger:
                 m = self.fallback
@@ -124,7 +125,7 @@ class RiskSequence:
                 same, n = self.pairs.get(frozenset((m, other)), (0, 0))
                 self.pairs[frozenset((m, other))] = (same + (votes[m] == votes[other]), n + 1)
         self.rounds += 1
-        return {"label": label, "asked": asked, "confidence": sure, "cost": sum(costs[m] for m in asked), "abstained": 1 - sure > tolerance}
+        return {"label": label, "asked": asked, "confidence": sure, "cost": sum(costs[m] for m in asked), "abstained": 1 - sure > tolerance, "belief": belief}
 
 
 @dataclass

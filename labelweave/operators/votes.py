@@ -121,24 +121,29 @@ def subsets(models: DataFrame, least: int = 1) -> DataFrame:
     return codes.select("code", "size", members.alias("models"), F.round(price, 6).alias("price"))
 
 
-def majority_confidence(sets: DataFrame, accuracy: dict[str, float]) -> DataFrame:
-    """Probability that more than half of a subset is right, its members being independent: the sum over all 2^n outcomes."""
-    known = F.create_map(*[x for m, p in accuracy.items() for x in (F.lit(m), F.lit(p))])
+def majority_confidence(sets: DataFrame, accuracies: DataFrame, by: list[str]) -> DataFrame:
+    """Probability that more than half of a subset is right, its members being independent: the sum over all 2^n outcomes.
+
+    accuracies: the columns by and known, a map from model to accuracy; each row of it meets every subset, which are bounded by the pool.
+    """
     outcome = sets.select("code", "size", "models", "price", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(size as int))") - 1)).alias("o"))
+    met = accuracies.crossJoin(F.broadcast(outcome))  # 3^12 rows at most, whatever the data
+    known = F.col("known")
     p = F.aggregate(
         F.transform("models", lambda m, i: F.when(F.getbit(F.col("o"), i) == 1, F.element_at(known, m)).otherwise(1 - F.element_at(known, m))),
         F.lit(1.0),
         lambda a, x: a * x,
     )
     win = F.when(F.bit_count("o") * 2 > F.col("size"), p).otherwise(0.0)
-    return outcome.groupBy("code", "size", "price").agg(F.round(F.sum(win), 6).alias("confidence"))
+    return met.groupBy(*by, "code", "size", "price").agg(F.round(F.sum(win), 6).alias("confidence"))
 
 
-def cheapest_subset(sets: DataFrame, need: float) -> DataFrame:
-    """The subset of least (price, size, code) whose confidence reaches `need`; if none does, the whole pool, marked as infeasible."""
-    best = sets.agg(F.min(F.when(F.col("confidence") >= need, F.struct("price", "size", "code", "confidence"))).alias("f"), F.max(F.struct("size", "code", "price", "confidence")).alias("w"))
+def cheapest_subset(sets: DataFrame, needs: tuple[float, ...], by: list[str]) -> DataFrame:
+    """For each need the subset of least (price, size, code) whose confidence reaches it; if none does, the whole pool, marked as infeasible."""
+    each = sets.withColumn("need", F.explode(F.array(*map(F.lit, needs))))
+    best = each.groupBy(*by, "need").agg(F.min(F.when(F.col("confidence") >= F.col("need"), F.struct("price", "size", "code", "confidence"))).alias("f"), F.max(F.struct("size", "code", "price", "confidence")).alias("w"))
     pick = lambda c: F.coalesce(F.col(f"f.{c}"), F.col(f"w.{c}")).alias(c)
-    return best.select(pick("code"), pick("size"), pick("price"), pick("confidence"), F.col("f").isNotNull().alias("feasible"))
+    return best.select(*by, "need", pick("code"), pick("size"), pick("price"), pick("confidence"), F.col("f").isNotNull().alias("feasible"))
 
 
 def vote_posterior(r: DataFrame, labels: tuple[str, ...]) -> DataFrame:

@@ -148,12 +148,12 @@ def f29_answer_problems(spark, d):
 # joins, windows and audits
 
 
-@query(f"WITH {VOTED}, e AS (SELECT item_id, vote FROM responses WHERE model_id='expert') SELECT p.label=p.gold AS pool_right, e.vote=p.gold AS expert_right, count(*) AS n FROM p JOIN e USING (item_id) GROUP BY 1, 2")
+@query(f"WITH {VOTED}, e AS (SELECT item_id, vote FROM responses WHERE model_id='board') SELECT p.label=p.gold AS pool_right, e.vote=p.gold AS board_right, count(*) AS n FROM p JOIN e USING (item_id) GROUP BY 1, 2")
 def j19_paired(spark, d):
     """Two policies on the same items: the pool's vote and the expert alone."""
-    expert = r._responses(spark, d).where("model_id = 'expert'").select("item_id", F.col("vote").alias("single"))
+    expert = r._responses(spark, d).where("model_id = 'board'").select("item_id", F.col("vote").alias("single"))
     both = r._predictions(spark, d).join(expert, "item_id")
-    return both.groupBy((F.col("label") == F.col("gold")).alias("pool_right"), (F.col("single") == F.col("gold")).alias("expert_right")).agg(F.count(F.lit(1)).alias("n"))
+    return both.groupBy((F.col("label") == F.col("gold")).alias("pool_right"), (F.col("single") == F.col("gold")).alias("board_right")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {EVENTS}, s AS (SELECT event_id AS step, day, object FROM ev WHERE action='ERROR') SELECT step, (SELECT count(*) FROM ev WHERE ev.day=s.day AND ev.object=s.object AND corpus='attack') AS events, EXISTS (SELECT 1 FROM ev WHERE ev.day=s.day AND ev.object=s.object AND corpus='attack' AND action='PURCHASE') AS observable FROM s")
@@ -237,12 +237,12 @@ def y38_threshold(spark, d):
     return c.where("cell > 0").select(F.round(F.col("cell") * 0.05, 2).alias("threshold"), f1.alias("f1"), recall.alias("recall")).orderBy(F.desc("f1"), F.desc("recall"), "threshold").limit(1)
 
 
-@query(f"""WITH {RESPONSES}, m AS (SELECT lang, model_id, avg((vote=gold)::INT::DOUBLE) AS acc FROM responses GROUP BY 1, 2), x AS (SELECT a.model_id, round(a.acc - b.acc, 9) AS delta, a.lang FROM m a JOIN m b ON a.lang=b.lang AND b.model_id='balanced'),
+@query(f"""WITH {RESPONSES}, m AS (SELECT lang, model_id, avg((vote=gold)::INT::DOUBLE) AS acc FROM responses GROUP BY 1, 2), x AS (SELECT a.model_id, round(a.acc - b.acc, 9) AS delta, a.lang FROM m a JOIN m b ON a.lang=b.lang AND b.model_id='reader'),
 s AS (SELECT model_id, round(avg(delta) + sum(least(delta, 0)), 6) AS value, round(min(delta), 6) AS worst FROM x GROUP BY 1) SELECT model_id, value, worst FROM s ORDER BY value DESC, worst DESC, model_id LIMIT 1""")
 def y41_config_choice(spark, d):
     """The setting with the best mean gain over several data sets less its losses; ties by the smallest loss, then by name. Models stand for settings, languages for data sets."""
     m = r._responses(spark, d).groupBy("lang", "model_id").agg(F.avg((F.col("vote") == F.col("gold")).cast("double")).alias("acc"))
-    base = m.where("model_id = 'balanced'").select("lang", F.col("acc").alias("base"))
+    base = m.where("model_id = 'reader'").select("lang", F.col("acc").alias("base"))
     x = m.join(base, "lang").select("model_id", F.round(F.col("acc") - F.col("base"), 9).alias("delta"))
     s = x.groupBy("model_id").agg(F.round(F.avg("delta") + F.sum(F.least(F.col("delta"), F.lit(0.0))), 6).alias("value"), F.round(F.min("delta"), 6).alias("worst"))
     return s.orderBy(F.desc("value"), F.desc("worst"), "model_id").limit(1)
@@ -250,7 +250,7 @@ def y41_config_choice(spark, d):
 
 # bootstraps
 
-CLUSTER_SQL = f"""WITH {RESPONSES}, c AS (SELECT STRATUM AS stratum, source, sum(CASE WHEN vote=gold THEN CASE model_id WHEN 'expert' THEN 1 ELSE -1 END ELSE 0 END)::BIGINT AS gain, count(DISTINCT doc_id) AS n FROM responses WHERE model_id IN ('expert','balanced') GROUP BY ALL),
+CLUSTER_SQL = f"""WITH {RESPONSES}, c AS (SELECT STRATUM AS stratum, source, sum(CASE WHEN vote=gold THEN CASE model_id WHEN 'board' THEN 1 ELSE -1 END ELSE 0 END)::BIGINT AS gain, count(DISTINCT doc_id) AS n FROM responses WHERE model_id IN ('board','reader') GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY source) AS i, count(*) OVER (PARTITION BY stratum) AS of FROM c), d AS (SELECT unnest(range(1, 201)) AS draw),
 x AS (SELECT draw, stratum, 1 + CAST(floor({u("'boot|'||draw||'|'||stratum||'|'||i")} * of) AS BIGINT) AS i FROM k, d),
 y AS (SELECT draw, sum(gain)::DOUBLE / sum(n) AS delta FROM x JOIN k USING (stratum, i) GROUP BY 1)
@@ -258,8 +258,8 @@ SELECT round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta,
 
 
 def _gains(spark, d, stratum: Column) -> DataFrame:
-    x = r._responses(spark, d).where(F.col("model_id").isin("expert", "balanced"))
-    right = (F.col("vote") == F.col("gold")).cast("long") * F.when(F.col("model_id") == "expert", 1).otherwise(-1)
+    x = r._responses(spark, d).where(F.col("model_id").isin("board", "reader"))
+    right = (F.col("vote") == F.col("gold")).cast("long") * F.when(F.col("model_id") == "board", 1).otherwise(-1)
     return x.groupBy(stratum.alias("stratum"), "source").agg(F.sum(right).alias("gain"), F.count_distinct("doc_id").alias("n"))
 
 
@@ -271,7 +271,7 @@ def _interval(drawn: DataFrame) -> DataFrame:
 
 @query(CLUSTER_SQL.replace("STRATUM AS", "'all' AS"))
 def v4_bootstrap(spark, d):
-    """Paired cluster bootstrap of the expert's gain over the balanced model: in each of 200 draws as many sources are drawn, with replacement, as there are."""
+    """Paired cluster bootstrap of the board's gain over the reader: in each of 200 draws as many sources are drawn, with replacement, as there are."""
     return _interval(resampling.cluster_draws(_gains(spark, d, F.lit("all")), "stratum", "source", 200, "boot"))
 
 

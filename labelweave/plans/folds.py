@@ -38,16 +38,16 @@ def d26_sequential_risk(spark, d):
         out = state.step(take("vote"), take("cost"), take("confidence"), TOLERANCES[row.source not in CRITICAL])
         return (row.source, row.doc_id, out["label"], ",".join(out["asked"]), round(1 - out["confidence"], 9), round(out["cost"], 9), out["abstained"], row.gold == out["label"])
 
-    return fold(votes_by_model(spark, d), ["source"], ["doc_id"], lambda row: RiskSequence(NAMES, LABELS, fallback="expert"), step, "source string, doc_id long, label string, models string, risk double, cost double, abstained boolean, right boolean")
+    return fold(votes_by_model(spark, d), ["source"], ["doc_id"], lambda row: RiskSequence(NAMES, LABELS, fallback="board"), step, "source string, doc_id long, label string, models string, risk double, cost double, abstained boolean, right boolean")
 
 
 def a13_online_correlation(spark, d):
-    """Correlation of the balanced and the expert model's being right, as it stands after each item of a source."""
+    """Correlation of the reader's and the board's being right, as it stands after each item of a source."""
 
     def step(state, row):
-        return (row.source, row.doc_id, round(state.add(float(row.vote_balanced == row.gold), float(row.vote_expert == row.gold)), 9))
+        return (row.source, row.doc_id, round(state.add(float(row.vote_reader == row.gold), float(row.vote_board == row.gold)), 9))
 
-    rows = votes_by_model(spark, d).select("source", "doc_id", "gold", "vote_balanced", "vote_expert")
+    rows = votes_by_model(spark, d).select("source", "doc_id", "gold", "vote_reader", "vote_board")
     return fold(rows, ["source"], ["doc_id"], lambda row: OnlineCorrelation(), step, "source string, doc_id long, correlation double")
 
 

@@ -37,6 +37,8 @@ def hx(seed, expression: str) -> str:
     return f"substr(sha256('{seed}:'||{expression}),1,16)"
 
 
+#: The weight of all models together; the accuracy of the one that is asked last.
+WHOLE, BOARD = round(sum(m[1] for m in MODELS), 9), MODELS[-1][1]
 POOL = ", ".join(f"('{m}', {a}::DOUBLE, {i}::DOUBLE, {o}::DOUBLE, {lat}::DOUBLE, {s}::DOUBLE, {math.log(a / (1 - a))!r}::DOUBLE)" for m, a, i, o, lat, s in MODELS)
 ITEMS = f"""models(model_id, accuracy, in_price, out_price, latency_ms, sensitivity, ability) AS (VALUES {POOL}),
 items AS (SELECT d.doc_id, 'doc-'||d.doc_id AS item_id, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'clean' END AS gold, d.source, d.lang, d.n_chars,
@@ -94,8 +96,8 @@ def a2_macro_summary(spark, d):
     return votes.macro_summary(_predictions(spark, d), LABELS)
 
 
-POLICY_SQL = """pol AS (SELECT *, 'full' AS policy FROM responses UNION ALL SELECT *, 'cheapest' FROM responses WHERE model_id='nano'
-  UNION ALL SELECT *, 'strongest' FROM responses WHERE model_id='expert' UNION ALL SELECT *, 'three_cheapest' FROM responses WHERE model_id IN ('nano','fast','balanced')),
+POLICY_SQL = """pol AS (SELECT *, 'full' AS policy FROM responses UNION ALL SELECT *, 'cheapest' FROM responses WHERE model_id='page'
+  UNION ALL SELECT *, 'strongest' FROM responses WHERE model_id='board' UNION ALL SELECT *, 'three_cheapest' FROM responses WHERE model_id IN ('page','clerk','reader')),
 per AS (SELECT policy, item_id, sum(cost) AS cost, count(*) AS models, max(latency_ms) AS parallel, sum(latency_ms) AS serial FROM pol GROUP BY 1,2)"""
 
 
@@ -104,7 +106,7 @@ round(quantile_cont(parallel,0.95),6) AS p95_parallel_ms, round(avg(serial),6) A
 def a3_policy_summary(spark, d):
     r = _responses(spark, d)
     names = F.filter(
-        F.array(F.lit("full"), F.when(F.col("model_id") == "nano", F.lit("cheapest")), F.when(F.col("model_id") == "expert", F.lit("strongest")), F.when(F.col("model_id").isin("nano", "fast", "balanced"), F.lit("three_cheapest"))),
+        F.array(F.lit("full"), F.when(F.col("model_id") == "page", F.lit("cheapest")), F.when(F.col("model_id") == "board", F.lit("strongest")), F.when(F.col("model_id").isin("page", "clerk", "reader"), F.lit("three_cheapest"))),
         lambda x: x.isNotNull(),
     )
     return votes.policy_summary(r.withColumn("policy", F.explode(names)))
@@ -160,32 +162,41 @@ def a11_redundancy(spark, d):
     return a.where("n >= 8 and redundancy >= 0.6").select("m1", "m2", "redundancy")
 
 
-# subsets of the pool: bits in the order of the models' names
+# subsets of the pool: bits in the order of the models' names; each source has its own accuracies
 
 _ORDER = sorted(m[0] for m in MODELS)
-_BY = {m[0]: m for m in MODELS}
-_PRICE = "+".join(f"(CASE WHEN (code>>{k})&1=1 THEN {_BY[m][2]}::DOUBLE ELSE 0 END)" for k, m in enumerate(_ORDER))
-_PROB = "*".join(f"(CASE WHEN (code>>{k})&1=0 THEN 1::DOUBLE WHEN (o>>{k})&1=1 THEN {_BY[m][1]}::DOUBLE ELSE {1 - _BY[m][1]!r}::DOUBLE END)" for k, m in enumerate(_ORDER))
-SUBSETS_SQL = f"""s AS (SELECT range AS code, bit_count(range)::BIGINT AS size, 0 AS z FROM range(1,32)),
-o AS (SELECT s.code, s.size, x.range AS o FROM s, range(0,32) x WHERE x.range & s.code = x.range),
-q AS (SELECT code, size, round({_PRICE},6) AS price, round(sum(CASE WHEN bit_count(o)*2 > size THEN {_PROB} ELSE 0 END),6) AS confidence FROM o GROUP BY code, size)"""
-
-
-@query(f"WITH {SUBSETS_SQL} SELECT code, size, price, confidence FROM q")
+_PRICES = {m[0]: m[2] for m in MODELS}
+_FULL = (1 << len(_ORDER)) - 1
+_PRICE = "+".join(f"(CASE WHEN (code>>{k})&1=1 THEN {_PRICES[m]}::DOUBLE ELSE 0 END)" for k, m in enumerate(_ORDER))
+_PROB = "*".join(f"(CASE WHEN (code>>{k})&1=0 THEN 1::DOUBLE WHEN (o>>{k})&1=1 THEN a{k} ELSE 1-a{k} END)" for k in range(len(_ORDER)))
+_ACCURACIES = ", ".join(f"max(a) FILTER (model_id='{m}') AS a{k}" for k, m in enumerate(_ORDER))
+SUBSETS_SQL = f"""acc AS (SELECT source, {_ACCURACIES} FROM (SELECT source, model_id, (sum((vote=gold)::INT)+1)/(count(*)+2)::DOUBLE AS a FROM responses GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT range AS code, bit_count(range)::BIGINT AS size FROM range(1,{_FULL + 1})),
+o AS (SELECT s.code, s.size, x.range AS o FROM s, range(0,{_FULL + 1}) x WHERE x.range & s.code = x.range),
+q AS (SELECT source, code, size, round({_PRICE},6) AS price, round(sum(CASE WHEN bit_count(o)*2 > size THEN {_PROB} ELSE 0 END),6) AS confidence FROM o, acc GROUP BY source, code, size)"""
+NEEDS = (0.80, 0.90, 0.93, 0.999)
+
+
+def source_accuracies(spark, d):
+    """(source, known): each model's smoothed accuracy on a source's items, as a map of the pool's size."""
+    right = (F.col("vote") == F.col("gold")).cast("long")
+    each = _responses(spark, d).groupBy("source", "model_id").agg(((F.sum(right) + 1) / (F.count(F.lit(1)) + 2)).alias("a"))
+    return each.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("model_id", "a"))).alias("known"))
+
+
+@query(f"WITH {RESPONSES}, {SUBSETS_SQL} SELECT source, code, size, price, confidence FROM q")
 def d6_majority_conf(spark, d):
-    return votes.majority_confidence(votes.subsets(t.models(spark)), {m[0]: m[1] for m in MODELS})
+    return votes.majority_confidence(votes.subsets(t.models(spark)), source_accuracies(spark, d), ["source"])
 
 
-@query(f"""WITH {SUBSETS_SQL}, need AS (SELECT unnest([0.80,0.90,0.93,0.999])::DOUBLE AS need),
-f AS (SELECT need, code, size, price, confidence, row_number() OVER (PARTITION BY need ORDER BY price, size, code) AS rn FROM need JOIN q ON confidence >= need AND size >= 2)
-SELECT need.need, coalesce(f.code, 31) AS code, coalesce(f.size, 5) AS size, coalesce(f.price, (SELECT price FROM q WHERE code=31)) AS price, coalesce(f.confidence, (SELECT confidence FROM q WHERE code=31)) AS confidence, f.code IS NOT NULL AS feasible FROM need LEFT JOIN f ON f.need=need.need AND rn=1""")
+@query(f"""WITH {RESPONSES}, {SUBSETS_SQL}, need AS (SELECT source, unnest([{", ".join(map(str, NEEDS))}])::DOUBLE AS need FROM acc),
+f AS (SELECT q.source, need, code, size, price, confidence, row_number() OVER (PARTITION BY q.source, need ORDER BY price, size, code) AS rn FROM need JOIN q ON q.source=need.source AND confidence >= need AND size >= 2),
+w AS (SELECT source, price, confidence FROM q WHERE code={_FULL})
+SELECT need.source, need.need, coalesce(f.code, {_FULL}) AS code, coalesce(f.size, {len(_ORDER)}) AS size, coalesce(f.price, w.price) AS price, coalesce(f.confidence, w.confidence) AS confidence, f.code IS NOT NULL AS feasible
+FROM need JOIN w ON w.source=need.source LEFT JOIN f ON f.source=need.source AND f.need=need.need AND rn=1""")
 def d8_cheapest_subset(spark, d):
-    conf = votes.majority_confidence(votes.subsets(t.models(spark), least=2), {m[0]: m[1] for m in MODELS})
-    parts = [votes.cheapest_subset(conf, need).select(F.lit(need).alias("need"), "code", "size", "price", "confidence", "feasible") for need in (0.80, 0.90, 0.93, 0.999)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sets = votes.majority_confidence(votes.subsets(t.models(spark), least=2), source_accuracies(spark, d), ["source"])
+    return votes.cheapest_subset(sets, NEEDS, ["source"])
 
 
 @query(f"WITH {RESPONSES} SELECT item_id, round(1/(1+exp(-sum(ability * CASE WHEN vote='toxic' THEN 1 ELSE -1 END))),6) AS posterior FROM responses GROUP BY 1")
@@ -193,26 +204,26 @@ def d27_posterior(spark, d):
     return votes.vote_posterior(_responses(spark, d), LABELS)
 
 
-@query(f"""WITH {RESPONSES}, x AS (SELECT item_id, 1/(1+exp(-sum(ability * CASE WHEN vote='toxic' THEN 1 ELSE -1 END))) AS q FROM responses WHERE model_id<>'expert' GROUP BY 1),
-y AS (SELECT item_id, q, 0.91::DOUBLE*q+(1-0.91::DOUBLE)*(1-q) AS pv FROM x),
-z AS (SELECT item_id, q, pv, 0.91::DOUBLE*q/pv AS q1, (1-0.91::DOUBLE)*q/(1-pv) AS q0 FROM y)
+@query(f"""WITH {RESPONSES}, x AS (SELECT item_id, 1/(1+exp(-sum(ability * CASE WHEN vote='toxic' THEN 1 ELSE -1 END))) AS q FROM responses WHERE model_id<>'board' GROUP BY 1),
+y AS (SELECT item_id, q, {BOARD}::DOUBLE*q+(1-{BOARD}::DOUBLE)*(1-q) AS pv FROM x),
+z AS (SELECT item_id, q, pv, {BOARD}::DOUBLE*q/pv AS q1, (1-{BOARD}::DOUBLE)*q/(1-pv) AS q0 FROM y)
 SELECT item_id, round(-q*ln(q)-(1-q)*ln(1-q) - pv*(-q1*ln(q1)-(1-q1)*ln(1-q1)) - (1-pv)*(-q0*ln(q0)-(1-q0)*ln(1-q0)),6) AS eig FROM z""")
 def d27_eig(spark, d):
-    """What the expert's vote is expected to tell, in nats, after the others' votes."""
-    r = _responses(spark, d).where("model_id <> 'expert'")
+    """What the board's vote is expected to tell, in nats, after the others' votes."""
+    r = _responses(spark, d).where("model_id <> 'board'")
     step = F.col("ability") * F.when(F.col("vote") == "toxic", 1).otherwise(-1)
-    x = r.groupBy("item_id").agg(mathx.sigmoid(F.sum(step)).alias("q")).withColumn("pv", 0.91 * F.col("q") + (1 - 0.91) * (1 - F.col("q")))
+    x = r.groupBy("item_id").agg(mathx.sigmoid(F.sum(step)).alias("q")).withColumn("pv", BOARD * F.col("q") + (1 - BOARD) * (1 - F.col("q")))
     q, pv = F.col("q"), F.col("pv")
     h = lambda p: mathx.entropy(F.array(p, 1 - p))
-    return x.select("item_id", F.round(h(q) - pv * h(0.91 * q / pv) - (1 - pv) * h((1 - 0.91) * q / (1 - pv)), 6).alias("eig"))
+    return x.select("item_id", F.round(h(q) - pv * h(BOARD * q / pv) - (1 - pv) * h((1 - BOARD) * q / (1 - pv)), 6).alias("eig"))
 
 
-@query(f"""WITH {VOTED}, c AS (SELECT p.item_id, p.label<>p.gold AS wrong, round(p.weight/4.05::DOUBLE,6) AS confidence FROM p), k AS (SELECT unnest([0.5,0.6,0.7,0.8,0.9])::DOUBLE AS cut),
+@query(f"""WITH {VOTED}, c AS (SELECT p.item_id, p.label<>p.gold AS wrong, round(p.weight/{WHOLE!r}::DOUBLE,6) AS confidence FROM p), k AS (SELECT unnest([0.5,0.6,0.7,0.8,0.9])::DOUBLE AS cut),
 g AS (SELECT cut, count(*) AS n, count(*) FILTER (confidence>=cut) AS accepted, count(*) FILTER (confidence>=cut AND wrong) AS errors FROM c, k GROUP BY cut),
 w AS (SELECT *, 1.959963984540054::DOUBLE AS z, CASE WHEN accepted=0 THEN 0 ELSE errors/accepted::DOUBLE END AS e FROM g)
 SELECT cut, accepted, round(accepted/n::DOUBLE,6) AS coverage, errors, round(CASE WHEN accepted=0 THEN 1 ELSE least(1,(e+z*z/(2*accepted)+z*sqrt(e*(1-e)/accepted+z*z/(4*accepted*accepted)))/(1+z*z/accepted)) END,6) AS upper FROM w""")
 def d37_selective_risk(spark, d):
-    p = _predictions(spark, d).select((F.col("label") != F.col("gold")).alias("wrong"), F.round(F.col("weight") / 4.05, 6).alias("confidence"))
+    p = _predictions(spark, d).select((F.col("label") != F.col("gold")).alias("wrong"), F.round(F.col("weight") / WHOLE, 6).alias("confidence"))
     return votes.selective_risk(p, [0.5, 0.6, 0.7, 0.8, 0.9])
 
 

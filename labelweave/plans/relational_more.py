@@ -53,12 +53,12 @@ def u4_difference(spark, d):
     return side("1").subtract(side("5"))
 
 
-@query(f"""WITH {RESPONSES}, w AS (SELECT item_id, any_value(doc_id) AS doc_id, any_value(gold) AS gold, any_value(source) AS source, max(vote) FILTER (model_id='balanced')||'|'||max(vote) FILTER (model_id='expert') AS pattern FROM responses GROUP BY 1),
+@query(f"""WITH {RESPONSES}, w AS (SELECT item_id, any_value(doc_id) AS doc_id, any_value(gold) AS gold, any_value(source) AS source, max(vote) FILTER (model_id='reader')||'|'||max(vote) FILTER (model_id='board') AS pattern FROM responses GROUP BY 1),
 x AS (SELECT lag(gold) OVER (PARTITION BY source ORDER BY doc_id) AS previous, pattern, gold FROM w), n AS (SELECT previous, pattern, gold, count(*)::DOUBLE AS n FROM x WHERE previous IS NOT NULL GROUP BY ALL),
 c AS (SELECT previous, n, sum(n) OVER (PARTITION BY previous) AS w, sum(n) OVER (PARTITION BY previous, gold) AS g, sum(n) OVER (PARTITION BY previous, pattern) AS v FROM n) SELECT previous, round(greatest(0,sum(n/w*ln(n*w/(g*v)))),6) AS mi FROM c GROUP BY 1""")
 def a9_pattern_mi(spark, d):
     """What a vote pattern tells of the label, by the label before in the source."""
-    wide = r._responses(spark, d).groupBy("doc_id").agg(F.max("gold").alias("gold"), F.max("source").alias("source"), F.concat_ws("|", F.max(F.when(F.col("model_id") == "balanced", F.col("vote"))), F.max(F.when(F.col("model_id") == "expert", F.col("vote")))).alias("pattern"))
+    wide = r._responses(spark, d).groupBy("doc_id").agg(F.max("gold").alias("gold"), F.max("source").alias("source"), F.concat_ws("|", F.max(F.when(F.col("model_id") == "reader", F.col("vote"))), F.max(F.when(F.col("model_id") == "board", F.col("vote")))).alias("pattern"))
     x = wide.select(F.lag("gold").over(Window.partitionBy("source").orderBy("doc_id")).alias("previous"), "pattern", "gold").where("previous is not null")
     n = x.groupBy("previous", "pattern", "gold").agg(F.count(F.lit(1)).cast("double").alias("n"))
     w, g, v = (F.sum("n").over(Window.partitionBy("previous", *by)) for by in ((), ("gold",), ("pattern",)))

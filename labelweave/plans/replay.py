@@ -104,8 +104,8 @@ def d25_state_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
             if known:
                 switch.audit(source, pattern, gold)
         votes = _votes(row)
-        pattern = tuple(votes[m] for m in ("balanced", "expert"))
-        label = switch.step(row.source, pattern, votes["expert"])
+        pattern = tuple(votes[m] for m in ("reader", "board"))
+        label = switch.step(row.source, pattern, votes["board"])
         waiting.append((row.source, pattern, row.gold, audited(row.doc_id, rate=row.rate)))
         return (row.rate, row.delay, row.doc_id, label, row.gold == label)
 

@@ -19,7 +19,7 @@ def test_online_correlation_is_the_recurrence(spark, sf):
     got = {r["doc_id"]: r["correlation"] for r in folds.a13_online_correlation(spark, sf).collect()}
     seen = defaultdict(list)
     for r in rows:
-        seen[r["source"]].append([float(r[f"vote_{m}"] == r["gold"]) for m in ("balanced", "expert")])
+        seen[r["source"]].append([float(r[f"vote_{m}"] == r["gold"]) for m in ("reader", "board")])
         x = np.array(seen[r["source"]])
         means = np.array([x[: k + 1].mean(0) for k in range(len(x))])  # after each update
         product = ((x - means).prod(1)).sum()
@@ -53,7 +53,7 @@ def test_sequential_risk_is_an_independent_replay(spark, sf):
                 worst = max([(pairs[min(m, o), max(m, o)][0] + 1) / (pairs[min(m, o), max(m, o)][1] + 2) for o in asked if pairs[min(m, o), max(m, o)][1] >= 5], default=0)
                 return max(0.05, 1 - 0.45 * worst)
 
-            while len(asked) < 5:
+            while len(asked) < len(folds.NAMES):
                 left = [m for m in folds.NAMES if m not in asked]
 
                 def rank(m):
@@ -62,7 +62,7 @@ def test_sequential_risk_is_an_independent_replay(spark, sf):
                     gain = max(0, h(p) - yes * h(update(p, True, a)) - (1 - yes) * h(update(p, False, a)))
                     return gain * diverse(m) / r[f"cost_{m}"], gain, -r[f"cost_{m}"], m
 
-                m = "expert" if "expert" in left and len(asked) >= 2 and min(p, 1 - p) > 0.2 else max(left, key=rank)
+                m = "board" if "board" in left and len(asked) >= 2 and min(p, 1 - p) > 0.2 else max(left, key=rank)
                 a, b, n = bins[m, min(9, int(r[f"confidence_{m}"] * 10))]
                 e = clip(low(a, b)) if n >= 5 else acc[m]
                 p = update(p, r[f"vote_{m}"] == LABELS[1], clip(0.5 + diverse(m) * (e - 0.5)))

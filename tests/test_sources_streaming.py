@@ -10,16 +10,16 @@ from labelweave.sources import tables as t
 from labelweave.streaming import windows
 
 
-def _event(i, host="SysClient0201.systemia.com", **more):
-    return {"timestamp": 1569416681981 + i, "id": f"e{i}", "hostname": host, "objectID": "o", "object": "process", "action": "create", "actorID": "a", "pid": -1, "properties": {"image_path": "x"}} | more
+def _event(i, host="ws17.lab.example", **more):
+    return {"timestamp": 1700000000981 + i, "id": f"e{i}", "hostname": host, "objectID": "o", "object": "process", "action": "create", "actorID": "a", "pid": -1, "properties": {"image_path": "x"}} | more
 
 
 def test_dirty_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text("\n".join([json.dumps(_event(1)), "not-json", json.dumps(_event(1)), json.dumps(_event(2, host="other"))]))
-    events, counters = records.load_events(records.lines(spark, str(tmp_path)), hosts=["SYSCLIENT0201"])
+    events, counters = records.load_events(records.lines(spark, str(tmp_path)), hosts=["WS17"])
     assert counters.first().asDict() == {"read": 4, "skipped": 1, "repeated": 1, "filtered": 1, "kept": 1}
     (e,) = events.collect()
-    assert (e["event_id"], e["hostname"], e["object_type"], e["pid"], e["properties"]) == ("e1", "SYSCLIENT0201", "PROCESS", None, {"image_path": "x"})
+    assert (e["event_id"], e["hostname"], e["object_type"], e["pid"], e["properties"]) == ("e1", "WS17", "PROCESS", None, {"image_path": "x"})
 
 
 def test_compressed_arrays_and_wrapped_records(spark, tmp_path):
@@ -30,7 +30,7 @@ def test_compressed_arrays_and_wrapped_records(spark, tmp_path):
 
 
 def test_times_and_addresses(spark):
-    rows = [("2019-09-25T09:04:41.981-04:00", 1569416681981), ("2019-09-25T13:04:41.981Z", 1569416681981), ("2019-09-25T13:04:41.59Z", 1569416681590), ("2019-09-25T13:04:41.981", None), ("x", None), (None, None)]
+    rows = [("2023-11-15T06:13:20.981+08:00", 1700000000981), ("2023-11-14T22:13:20.981Z", 1700000000981), ("2023-11-14T22:13:20.59Z", 1700000000590), ("2023-11-14T22:13:20.981", None), ("x", None), (None, None)]
     df = spark.createDataFrame(rows, "t string, want long").withColumn("got", iso_millis(F.col("t")))
     assert all(r["want"] == r["got"] for r in df.collect())
     ips = spark.createDataFrame([("10.1.2.3", True), ("172.31.0.1", True), ("172.32.0.1", False), ("127.0.0.1", False), ("8.8.8.8", False), (None, False)], "ip string, want boolean")
@@ -38,7 +38,7 @@ def test_times_and_addresses(spark):
 
 
 def test_labels(spark, tmp_path):
-    (tmp_path / "l.csv").write_text("hostname,id,objectID,actorID,timestamp,object,action\nh1.systemia.com,e1,o,a,2019-09-25T13:04:41.981Z,FILE,read\nh1,e1,o,a,2019-09-25T13:04:42Z,FILE,read\nh2,e2,o,a,2019-09-25T13:04:41.59Z,FILE,read\n")
+    (tmp_path / "l.csv").write_text("hostname,id,objectID,actorID,timestamp,object,action\nh1.lab.example,e1,o,a,2023-11-14T22:13:20.981Z,FILE,read\nh1,e1,o,a,2023-11-14T22:13:22Z,FILE,read\nh2,e2,o,a,2023-11-14T22:13:20.59Z,FILE,read\n")
     got = records.load_labels(spark, str(tmp_path / "l.csv"))
     assert [(r["event_id"], r["hostname"]) for r in got.collect()] == [("e2", "H2"), ("e1", "H1")]
 
