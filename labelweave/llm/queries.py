@@ -35,7 +35,7 @@ def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     docs = docs.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), text_size().alias("n"), content_key().alias("content"))
-    out = shard_records(docs, SHARDS, F.col("n"), (F.col("content"), F.col("doc_id")))
+    out = shard_records(docs, SHARDS, F.col("n"), (F.col("content"), F.col("doc_id")), whole=True)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -159,7 +159,8 @@ n AS (
   FROM n
 ), s AS (
   SELECT *, sum(size) OVER (ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total, row_number() OVER (ORDER BY k, doc_id) AS r FROM c
-), p AS (SELECT *, CAST(least(15, ((2 * upto - size) * 16) // (2 * total)) AS INTEGER) AS shard FROM s)
+), g AS (SELECT *, sum(size) OVER (PARTITION BY k) AS whole, min(upto - size) OVER (PARTITION BY k) AS start FROM s
+), p AS (SELECT *, CAST(least(15, (CASE WHEN whole * 16 < total THEN 2 * start + whole ELSE 2 * upto - size END * 16) // (2 * total)) AS INTEGER) AS shard FROM g)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, r - min(r) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
 """
 

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from labelweave.llm.common import free_name, kept_columns, staged, text_or_empty
 
 Key = tuple[int, int, int]
+#: Groups of equal records up to which a table of them is broadcast.
+BROADCAST_GROUPS = 500_000
 
 
 def _range_of(bounds: list[Key]):
@@ -54,19 +56,21 @@ def shard_records(
     ranges_per_shard: int = 64,
     range_rows: int = 200_000,
     oversample: int = 16,
+    whole: bool = False,
     names: tuple[str, str, str] = ("size", "shard", "slot"),
 ) -> DataFrame:
     """Return df with its size, its shard (0 to n_shards - 1) and its slot (0, 1, ... within the shard).
 
     Records are ordered by the two long expressions in key, ties by their place in the input. Shard borders fall at
     equal numbers of summed size, so two shards differ by less than the two largest records. Nulls in a key sort first.
-    Every row is kept; rows that repeat each get a slot; an empty table gives an empty result. A border falls where the sizes
-    say, so it may part records that are equal in the first key. Columns of df that have one of the names, in any case,
+    Every row is kept; rows that repeat each get a slot; an empty table gives an empty result. whole: records that are equal in
+    the first key go to the shard of their middle together, if they are less than a shard; a larger group is cut where the sizes say, and
+    so is every group without `whole`. Columns of df that have one of the names, in any case,
     are replaced. The driver holds ranges_per_shard * n_shards (or one per range_rows rows)
     boundaries and about oversample sampled keys for each.
     """
     spark = df.sparkSession
-    rid, k1, k2, k3, size_name, shard_name, chance, b_before, n_before, end, rank, first = (free_name(df, f"__{x}", *names) for x in ("range", "k1", "k2", "k3", "size", "shard", "chance", "b", "n", "end", "rank", "first"))
+    rid, k1, k2, k3, size_name, shard_name, chance, b_before, n_before, end, rank, first, size_of, start_of = (free_name(df, f"__{x}", *names) for x in ("range", "k1", "k2", "k3", "size", "shard", "chance", "b", "n", "end", "rank", "first", "sizeof", "startof"))
     kept = kept_columns(df, names)
     least = F.lit(-(2**63)).cast("long")
     keyed = df.withColumns({size_name: size.cast("long"), k1: F.coalesce(key[0].cast("long"), least), k2: F.coalesce(key[1].cast("long"), least), k3: F.monotonically_increasing_id()})
@@ -110,8 +114,15 @@ def shard_records(
         located.join(F.broadcast(starts), rid)  # one row for each range: bounded above
         .withColumn(end, F.col(b_before) + F.sum(size_name).over(w))
         .withColumn(rank, F.col(n_before) + F.row_number().over(w) - 1)
-        .withColumn(shard_name, F.least(F.lit(n_shards - 1), F.floor((2 * F.col(end) - F.col(size_name)) * F.lit(n_shards) / F.lit(2 * (total or 1)))).cast("int"))
     )
+    if whole:
+        groups = placed.groupBy(k1).agg(F.sum(size_name).alias(size_of), F.min(F.col(end) - F.col(size_name)).alias(start_of), F.count(F.lit(1)).alias("c"))
+        groups = staged(groups.where((F.col("c") > 1) & (F.col(size_of) * n_shards < (total or 1))).drop("c"), "shard-groups")
+        placed = placed.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, k1, "left")
+        twice = F.coalesce(2 * F.col(start_of) + F.col(size_of), 2 * F.col(end) - F.col(size_name))
+    else:
+        twice = 2 * F.col(end) - F.col(size_name)
+    placed = placed.withColumn(shard_name, F.least(F.lit(n_shards - 1), F.floor(twice * F.lit(n_shards) / F.lit(2 * (total or 1)))).cast("int"))
     firsts = placed.groupBy(shard_name).agg(F.min(rank).alias(first))  # a row for each shard
     return placed.join(F.broadcast(firsts), shard_name).select(*kept, F.col(size_name).alias(names[0]), F.col(shard_name).alias(names[1]), (F.col(rank) - F.col(first)).alias(names[2]))
 
