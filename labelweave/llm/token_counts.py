@@ -11,7 +11,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.llm.common import quoted, staged
@@ -19,6 +19,8 @@ from labelweave.llm.common import quoted, staged
 #: A pre-token: starts with a line break or with spaces; the marker character counts as a space.
 PRE_TOKEN = re.compile("\n[^ \n]*| +[^ \n]*")
 SPACE_MARK = "▁"
+#: Bytes of all pre-tokens that go to every task, bytes of the longest of them, and characters of pre-tokens that a task gathers.
+COMMON_BYTES, LONGEST, SEEN_CHARS = 16 << 20, 256, 32 << 20
 _MODELS: dict = {}
 
 
@@ -47,8 +49,9 @@ def _slices(texts: pa.Array, step: int = 256) -> Iterator[tuple[int, list[str |
 
 
 def _distinct(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """(piece, n): sums over what a task has read, sent on whenever `most` pre-tokens have gathered."""
+    """(piece, n): sums over what a task has read, sent on whenever `most` pre-tokens or SEEN_CHARS characters have gathered."""
     seen: Counter = Counter()
+    chars = 0
 
     def out() -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["piece", "n"])
@@ -60,6 +63,11 @@ def _distinct(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterato
             for text in texts:
                 if text:
                     seen.update(pre_tokens(text))
+                    chars += len(text)  # no less than what new pre-tokens hold
+                    if chars > SEEN_CHARS:
+                        if sum(map(len, seen)) > SEEN_CHARS // 2:
+                            yield out()
+                        chars = 0
             if len(seen) > most:
                 yield out()
     if seen:
@@ -78,31 +86,33 @@ def piece_table(docs: DataFrame, text: str, model_path: str) -> DataFrame:
     return staged(found.mapInArrow(encode, "piece string, n long, pieces int"), "piece-counts")
 
 
-def frequent(pieces: DataFrame, most: int) -> tuple[int, dict[str, int]]:
-    """A number of occurrences that at most `most` pre-tokens reach, and those that reach it with their pieces."""
-    by_power = {r[0]: r[1] for r in pieces.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("p")).count().collect()}
-    total, cut = 0, max(by_power, default=0) + 1
+def frequent(pieces: DataFrame, most: int, most_bytes: int = COMMON_BYTES) -> tuple[Column, dict[str, int]]:
+    """Which pre-tokens go to every task, and these with their pieces: the commonest, `most` at most and of most_bytes at most, none of more than LONGEST bytes."""
+    power, size = F.floor(F.log2("n") * 8).cast("int"), F.octet_length("piece")
+    by_power = {r["p"]: (r["c"], r["b"]) for r in pieces.where(size <= LONGEST).groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("c"), F.sum(size).alias("b")).collect()}
+    count, held, cut = 0, 0, max(by_power, default=0) + 1
     for p in sorted(by_power, reverse=True):
-        total += by_power[p]
-        if total > most:
+        count, held = count + by_power[p][0], held + by_power[p][1]
+        if count > most or held > most_bytes:
             break
         cut = p
-    chosen = pieces.where(F.floor(F.log2("n") * 8) >= cut).select("piece", "pieces").toPandas()
-    return cut, dict(zip(chosen["piece"], chosen["pieces"].tolist()))
+    common = (size <= LONGEST) & (power >= cut)
+    chosen = pieces.where(common).select("piece", "pieces").toPandas()
+    return common, dict(zip(chosen["piece"], chosen["pieces"].tolist()))
 
 
 def token_counts(docs: DataFrame, model_path: str, text: str = "text", most_frequent: int = 1 << 18, name: str = "n_tokens") -> DataFrame:
     """Return docs, without its text, with the number of tokens of each whole text.
 
-    The `most_frequent` commonest pre-tokens at most go to every task in a table; the others are joined with their
-    counts by key, so no key of the join is common. A null text counts as empty and has no tokens. Every row is kept
+    The `most_frequent` commonest pre-tokens at most, of COMMON_BYTES at most, go to every task in a table; the others, and
+    all of more than LONGEST bytes, are joined with their counts by key, so no key of the join is common but a long one. A null text counts as empty and has no tokens. Every row is kept
     and counted by itself, also one that repeats; an empty table gives an empty result. A column of docs that has the
     result's name is replaced.
     """
     spark = docs.sparkSession
     pieces = piece_table(docs, text, model_path)
-    cut, common = frequent(pieces, most_frequent)
-    shared = spark.sparkContext.broadcast(common)  # most_frequent entries at most
+    is_common, common = frequent(pieces, most_frequent)
+    shared = spark.sparkContext.broadcast(common)  # most_frequent entries and COMMON_BYTES at most
     row, key, add, carried, total = "row", "piece", "add", "carried", "total"  # the columns of docs are fields of carried
     kept = [c for c in docs.columns if c.lower() not in (text.lower(), name.lower())]
     rows = docs.select(F.monotonically_increasing_id().alias(row), quoted(text).cast("string").alias("text"), F.struct(*[quoted(c).alias(f"c{n}") for n, c in enumerate(kept)]).alias(carried) if kept else F.lit(None).cast("struct<none:int>").alias(carried))
@@ -139,6 +149,6 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text", most_freq
                 )
 
     parts = rows.mapInArrow(count, out_type)
-    rare = pieces.where(F.floor(F.log2("n") * 8) < cut).select(F.col("piece").alias(key), "pieces")
+    rare = pieces.where(~is_common).select(F.col("piece").alias(key), "pieces")
     summed = parts.join(rare, key, "left").groupBy(row).agg(F.sum(F.col(add) * F.coalesce("pieces", F.lit(1))).alias(total), F.first(carried, ignorenulls=True).alias(carried))
     return summed.select(*[F.col(carried)[f"c{n}"].alias(c) for n, c in enumerate(kept)], F.col(total).alias(name))
