@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import free_name, shared_dir, staged
+from labelweave.llm.common import discard, free_name, shared_dir, staged
 
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -37,6 +37,8 @@ SEGMENT = 1 << 18
 FLUSH = 100_000
 #: Bytes of texts that are taken out of a batch at once.
 SLICE = 1 << 20
+#: As many buckets as Spark lets a table have by default.
+MOST_BUCKETS = 100_000
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -358,14 +360,15 @@ def _removal(threshold: int, with_text: bool):
     return remove
 
 
-def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: int = 50, bucket_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
+def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: int = 50, bucket_bytes: int = 8 << 20, most_buckets: int = MOST_BUCKETS, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text kept_text as binary) of each row of df.
 
     Every byte is removed that lies in a string of `threshold` bytes (even, 16 or more) that also starts in a document with a
     smaller doc_id; strings lie within one text, overlaps count, and all is judged on the input. Texts are UTF-8 bytes, a null
     text is empty. Rows without a doc_id come after all others and take nothing from one another, nor do rows of one
     doc_id. Repeated rows get a result each. Whole texts count; long ones are looked at in segments. An empty
-    table gives an empty result. Other columns of df aren't looked at.
+    table gives an empty result. There is a bucket for bucket_bytes of text, most_buckets at most: beyond that a bucket
+    holds more, and a task the 33 bytes of each of its ranks, of which a byte of text has a thirteenth. Other columns of df aren't looked at.
     """
     if threshold % 2 or not 16 <= threshold <= 256:
         raise ValueError("threshold: an even number from 16 to 256")
@@ -374,12 +377,13 @@ def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     docs = docs.withColumns({"d": F.coalesce("doc_id", F.lit(2**63 - 1)), "h": F.md5("b")}).withColumn("k", F.xxhash64("d", "h"))
     owners = staged(docs.groupBy("h").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("b")).alias("size")), "text-owners")
     size = owners.agg(F.sum("size")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+    buckets = min(most_buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes)))
     copies = staged(docs.select("k", "d", "h").join(owners.where("n > 1").select("h", "least"), "h").where("d > least").select("k").distinct(), "copies")
 
     name = free_name(df, f"suffix_dedup_{uuid.uuid4().hex}")
     table = docs.select("k", "d", "doc_id", "b").repartition(buckets, "k")
-    table.write.bucketBy(buckets, "k").option("path", f"{shared_dir(spark)}/stage/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+    folder = f"{shared_dir(spark)}/stage/{name}"
+    table.write.bucketBy(buckets, "k").option("path", folder).option("compression", "zstd").format("parquet").saveAsTable(name)
     table = spark.table(name)
     own = table.join(copies.hint("shuffle_merge"), "k", "left_anti")
 
@@ -398,4 +402,8 @@ def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
         .join(_places(pair, buckets, "later").withColumnRenamed("places", "single").hint("shuffle_merge"), "k", "left")
     )
     out = result.select("k", "b", "copy", "whole", "single", F.struct("doc_id").alias("row")).mapInArrow(_removal(threshold, with_text), "row struct<doc_id:long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
-    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *([F.col("kept").alias("kept_text")] if with_text else []))
+    out = staged(out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *([F.col("kept").alias("kept_text")] if with_text else [])), "substrings")
+    spark.sql(f"DROP TABLE {name}")
+    table.staged_path = folder
+    discard(table, owners, copies)
+    return out
