@@ -26,12 +26,10 @@ from labelweave.llm.near import BROADCAST_IDS, _merged as merged, shared_keys, s
 
 #: Bytes of text looked at at once; bytes of words whose hashes are remembered.
 SLICE_BYTES, WORD_BYTES = 4 << 20, 16 << 20
-#: A bitmap has between so many bits, twice as many as the set has members in between.
+#: A bitmap has between so many bits; in between eight for each member of a small set, two for each of a large one.
 LEAST_BITS, MOST_BITS = 64, 1 << 14
-#: Rounds in which what is apart in a tile meets one item of its largest component; rows of a block; bytes of a block's comparison.
-ROUNDS, BLOCK, AT_ONCE = 2, 256, 1 << 24
-#: Members up to which a set's bitmap goes into the blocks.
-SHORT = 512
+#: Rounds in which what is apart in a tile meets one item of its largest component, before it meets the likeliest of each block, then all; rows of a block; bytes of a block's comparison.
+ROUNDS, BLOCK, AT_ONCE = 1, 256, 1 << 24
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -80,7 +78,8 @@ def first_ones(n, percent: int):
 
 def bitmap(members: np.ndarray) -> bytes:
     """A bit for the hash of each member."""
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(members) - 1).bit_length()))
+    each = 8 if len(members) <= 512 else 4 if len(members) <= 2048 else 2
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (each * len(members) - 1).bit_length()))
     bits = np.zeros(size, bool)
     bits[members & np.uint64(size - 1)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -212,7 +211,10 @@ def _tiles(items: DataFrame, percent: int) -> DataFrame:
     ranked = ranked.withColumn("place", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))))
     # of all that a set sends, what it shares: copies of a text share less than the text they were made from
     rows = staged(ranked.select(F.xxhash64("key", "place.band").alias("tile"), "id", "n", "place.own", (F.col("m") / F.col("n")).alias("typical")), "ngram-placed")
-    full = rows.groupBy("tile").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o")).where("c > 1 and o").select("tile")
+    # n-grams of one passage make tiles of the same sets: one of these is enough
+    same = [F.bit_xor(F.xxhash64("id", "own", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    full = rows.groupBy("tile").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o"), *same).where("c > 1 and o")
+    full = full.groupBy("c", "h1", "h2").agg(F.min("tile").alias("tile")).select("tile")
     out = staged(rows.join(full, "tile"), "ngram-tiles")
     discard(shared, alive, count, met, rows)
     return out
@@ -237,14 +239,14 @@ def _near_enough(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _block_pairs(placed: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(placed: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
     """(a, b): pairs of a tile in different components, one of them outside the largest, whose sizes and bitmaps allow a link.
 
-    A tile's rows lie in blocks of BLOCK or so; each block of what is outside meets every block of the tile. Bitmaps of
-    sets of more than SHORT members stay out of the blocks: such a set lies in many tiles, and its pairs are looked at once, later.
+    best: for each item outside only the likeliest of those in a block.
+    A tile's rows lie in blocks of BLOCK or so; each block of what is outside meets every block of the tile.
     """
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
-    rows = placed.join(mixed, "tile").join(sets.select("id", F.when(F.col("n") <= SHORT, F.col("bits")).alias("bits")), "id")
+    rows = placed.join(mixed, "tile").join(sets.select("id", "bits"), "id")
     item = F.struct("id", "n", "root", "own", "bits")
     packed = lambda x, c, k: x.groupBy("tile", F.pmod(F.xxhash64("id"), blocks(c)).alias(k)).agg(F.collect_list(item).alias(f"{k}s"), F.first("top").alias("top"))
     left = staged(packed(rows.where("root <> top"), "outside", "x"), "ngram-outside")
@@ -257,19 +259,19 @@ def _block_pairs(placed: DataFrame, mixed: DataFrame, sets: DataFrame, percent:
         return np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy())), *(items.field(k).to_numpy(zero_copy_only=False) for k in range(4)), np.array([*items.field(4).to_pylist(), None], object)[:-1]
 
     def may_link(n: np.ndarray, p: np.ndarray, m: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """For each pair of n and m whether sizes and bitmaps allow a link; sets without a bitmap go by size alone."""
-        keep = linked(np.minimum(n[:, None], m[None]), n[:, None], m[None], percent)
-        i, j = np.flatnonzero(p != None), np.flatnonzero(w != None)  # noqa: E711
-        if len(i) and len(j) and keep[np.ix_(i, j)].any():
-            width = min(map(len, (*p[i], *w[j])))
-            x, y = unpacked(p[i], width), unpacked(w[j], width)
+        """For each pair of n and m the share that they have in common at most, by sizes and bitmaps; 0 where that is too little for a link."""
+        most = np.minimum(n[:, None], m[None])
+        if linked(most, n[:, None], m[None], percent).any():
+            width = min(map(len, (*p, *w)))
+            x, y = unpacked(p, width), unpacked(w, width)
             own, other = np.bitwise_count(x).sum(1, dtype=np.int64), np.bitwise_count(y).sum(1, dtype=np.int64)
             step = max(1, AT_ONCE // (len(y) * width))
             for a in range(0, len(x), step):
-                k = i[a : a + step]
-                both = np.bitwise_count(x[a : a + step, None, :] & y[None]).sum(2, dtype=np.int64)
-                keep[np.ix_(k, j)] &= linked(bound(n[k][:, None], own[a : a + step, None], m[j][None], other[None], both), n[k][:, None], m[j][None], percent)
-        return keep
+                b = min(len(x), a + step)
+                both = np.bitwise_count(x[a:b, None, :] & y[None]).sum(2, dtype=np.int64)
+                most[a:b] = np.minimum(most[a:b], bound(n[a:b, None], own[a:b, None], m[None], other[None], both))
+        whole = n[:, None] + m[None]
+        return np.where(linked(most, n[:, None], m[None], percent), most / (whole - most), 0.0)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +282,12 @@ def _block_pairs(placed: DataFrame, mixed: DataFrame, sets: DataFrame, percent:
                 # pairs of two guests meet in the band below; of two outside, each is seen from either side
                 keep = (r[:, None] != s[None]) & (o[:, None] | q[None]) & ((s[None] == top) | (i[:, None] < j[None]))
                 if keep.any():
-                    u, v = np.nonzero(keep & may_link(n, p, m, w))
+                    share = np.where(keep, may_link(n, p, m, w), 0.0)
+                    if best:
+                        u = np.flatnonzero(share.any(1))
+                        v = share[u].argmax(1)
+                    else:
+                        u, v = np.nonzero(share)
                     found.append((np.minimum(i[u], j[v]), np.maximum(i[u], j[v])))
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found))
@@ -298,7 +305,7 @@ def set_components(items: DataFrame, texts, percent: int, seed: int, words: int)
     open_ids = staged(tiles.select("id").distinct().join(items.select("id", "row"), "id"), "ngram-open")
     sets = staged(_sets(texts(open_ids), seed, words).dropDuplicates(["id"]), "ngram-sets")
     roots, seen = None, None
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS + 2):
         placed = _rooted(tiles, roots)
         mixed = _mixed(placed, turn)
         if not mixed.limit(1).count():
@@ -316,7 +323,7 @@ def set_components(items: DataFrame, texts, percent: int, seed: int, words: int)
             else:
                 tries = tries.select("a", "b")
         else:
-            tries = _block_pairs(placed, mixed, sets, percent)
+            tries = _block_pairs(placed, mixed, sets, percent, turn == ROUNDS)
         if seen is not None:
             tries = tries.join(seen.select("a", "b"), ["a", "b"], "left_anti")
         found = _verified(staged(tries, "ngram-tries"), sets, percent)
