@@ -12,16 +12,30 @@ from pyspark.sql import types as T
 PARSED = "label string, confidence double, rationale string, error string"
 #: Lists in an answer whose entries are ids of evidence.
 EVIDENCE_KEYS = ("evidence_edges", "evidence_ids")
+#: Levels to which an answer may be nested, and objects that are nested too deep for the parser after which a text is given up.
+MOST_DEPTH, MOST_DEEP = 64, 8
+
+
+def depth(value) -> int:
+    """Levels of lists and objects in a value."""
+    deepest, level = 0, [value]
+    while level := [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)] if deepest else [value]:
+        deepest += 1
+    return deepest - 1
 
 
 def first_object(text: str | None) -> dict | None:
-    """The first JSON object that begins anywhere in a text, if that is whole."""
-    text, decoder, at = text or "", json.JSONDecoder(), -1
-    while (at := text.find("{", at + 1)) >= 0:
+    """The first JSON object that begins anywhere in a text, if that is whole and nested to MOST_DEPTH levels at most."""
+    text, decoder, at, deep = text or "", json.JSONDecoder(), -1, 0
+    while deep < MOST_DEEP and (at := text.find("{", at + 1)) >= 0:
         try:
-            return decoder.raw_decode(text, at)[0]
+            found = decoder.raw_decode(text, at)[0]
         except ValueError:
             continue
+        except RecursionError:
+            deep += 1
+            continue
+        return found if depth(found) <= MOST_DEPTH else None
     return None
 
 

@@ -83,12 +83,13 @@ def d9_base_router(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d34_online_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Online weighted majority by source: each stream's weights follow how often a model has agreed with its outcomes."""
+
     def step(state, row):
         label = state.step(_votes(row), LABELS)
-        return (row.doc_id, label, row.gold == label)
+        return (row.source, row.doc_id, label, row.gold == label)
 
-    rows = panel(spark, sf_dir).withColumn("run", F.lit(0))
-    return fold(rows, ["run"], ["doc_id"], lambda row: WeightedMajority(NAMES), step, "doc_id long, label string, right boolean")
+    return fold(panel(spark, sf_dir), ["source"], ["doc_id"], lambda row: WeightedMajority(NAMES), step, "source string, doc_id long, label string, right boolean")
 
 
 def d25_state_switch(spark: SparkSession, sf_dir: str) -> DataFrame:

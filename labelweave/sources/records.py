@@ -85,17 +85,39 @@ def load_events(records: DataFrame, hosts: list[str] | None = None, start_ms: in
 LABEL_SCHEMA = "hostname string, id string, objectID string, actorID string, timestamp string, object string, action string"
 
 
-def load_labels(spark: SparkSession, path: str, hosts: list[str] | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
-    """Attack labels from CSV with a header: filtered first, then one row for each id; ordered by (ms, id). No label means unknown, not benign."""
-    t = spark.read.schema(LABEL_SCHEMA).option("header", "true").option("enforceSchema", "false").csv(path)
-    t = t.select(F.col("id").alias("event_id"), iso_millis(F.col("timestamp")).alias("ms"), hostname(F.col("hostname")).alias("hostname"), F.col("objectID").alias("object_id"), F.col("actorID").alias("actor_id"), F.upper("object").alias("object_type"), F.upper("action").alias("action"))
+def _labels(spark: SparkSession, path: str, hosts: list[str] | None, start_ms: int | None, end_ms: int | None) -> DataFrame:
+    """All rows of label files with what becomes of each: kept, filtered, repeated, or the reason why it is none."""
+    t = spark.read.option("header", "true").csv(path)
+    missing = sorted({c.split()[0] for c in LABEL_SCHEMA.split(", ")} - set(t.columns))
+    if missing:
+        raise ValueError(f"label files lack the columns {missing}")
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    t = t.select(text("id").alias("event_id"), iso_millis(F.col("timestamp")).alias("ms"), hostname(F.col("hostname")).alias("hostname"), F.col("objectID").alias("object_id"), F.col("actorID").alias("actor_id"), F.upper("object").alias("object_type"), F.upper("action").alias("action"))
+    wanted = F.lit(True)
     if hosts is not None:
-        t = t.where(F.col("hostname").isin([h.upper() for h in hosts]))
+        wanted &= F.col("hostname").isin([h.upper() for h in hosts])
     if start_ms is not None:
-        t = t.where(F.col("ms") >= start_ms)
+        wanted &= F.col("ms") >= start_ms
     if end_ms is not None:
-        t = t.where(F.col("ms") <= end_ms)
-    return t.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in t.columns if c != "event_id"]), "ms").alias("r")).select("event_id", "r.*").orderBy("ms", "event_id")
+        wanted &= F.col("ms") <= end_ms
+    no_host = F.coalesce(F.col("hostname"), F.lit("")) == ""
+    t = t.withColumn("state", F.when((F.col("event_id") == "") | no_host, "empty_key").when(F.col("ms").isNull(), "bad_time").when(~wanted, "filtered").otherwise("kept"))
+    order = F.row_number().over(Window.partitionBy("event_id", "state").orderBy("ms", "hostname", "object_id", "actor_id", "object_type", "action"))
+    return t.withColumn("state", F.when((F.col("state") == "kept") & (order > 1), "repeated").otherwise(F.col("state")))
+
+
+def load_labels(spark: SparkSession, path: str, hosts: list[str] | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+    """Attack labels from CSV with a header, columns by their names in any order: filtered first, then one row for each id, the earliest (ties: by host, object, actor, kind, action); ordered by (ms, id).
+
+    Rows without an id or host, or with a time that can't be read, are none; label_counters tells how many. No label means unknown, not benign.
+    """
+    return _labels(spark, path, hosts, start_ms, end_ms).where("state = 'kept'").drop("state").orderBy("ms", "event_id")
+
+
+def label_counters(spark: SparkSession, path: str, hosts: list[str] | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+    """One row: label rows read, and how many have an empty key or a bad time, are filtered, repeat an id, or are kept."""
+    n = lambda s: F.coalesce(F.sum((F.col("state") == s).cast("long")), F.lit(0).cast("long")).alias(s)
+    return _labels(spark, path, hosts, start_ms, end_ms).agg(F.count(F.lit(1)).alias("read"), *[n(s) for s in ("empty_key", "bad_time", "filtered", "repeated", "kept")])
 
 
 SCENARIO_SCHEMA = "scenario_id string, utc_offset_minutes int, padding_minutes int, hosts array<string>, activities array<struct<name:string,start:string,end:string,hosts:array<string>>>"
@@ -106,7 +128,7 @@ def load_scenarios(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.schema(SCENARIO_SCHEMA).option("multiLine", "true").json(path)
     a = t.select("scenario_id", "utc_offset_minutes", F.coalesce("padding_minutes", F.lit(0)).alias("pad"), F.posexplode("activities").alias("ordinal", "a"), F.col("hosts").alias("all_hosts"))
     at = lambda c: F.unix_millis(F.to_timestamp(c)) - F.col("utc_offset_minutes") * 60000
-    return a.select("scenario_id", "ordinal", "a.name", (at(F.col("a.start")) - F.col("pad") * 60000).alias("start_ms"), (at(F.col("a.end")) + F.col("pad") * 60000).alias("end_ms"), F.transform(F.coalesce("a.hosts", "all_hosts"), hostname).alias("hosts"))
+    return a.select("scenario_id", "ordinal", "a.name", (at(F.col("a.start")) - F.col("pad") * 60000).alias("start_ms"), (at(F.col("a.end")) + F.col("pad") * 60000).alias("end_ms"), F.transform(F.coalesce("a.hosts", "all_hosts"), lambda x: hostname(x)).alias("hosts"))
 
 
 ANNOTATION_SCHEMA = "content string, info struct<title:string>, cyberevent struct<hopper:array<struct<events:array<struct<index:string,type:string,subtype:string,realis:string,nugget:struct<startOffset:int,endOffset:int,text:string>,argument:array<struct<text:string>>>>>>>"

@@ -1,6 +1,7 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from labelweave.functions.text import iso_millis, private_ipv4
@@ -10,7 +11,7 @@ from labelweave.sources import tables as t
 from labelweave.streaming import windows
 
 
-def _event(i, host="ws17.lab.example", **more):
+def _event(i, host="ws17.systemia.com", **more):
     return {"timestamp": 1700000000981 + i, "id": f"e{i}", "hostname": host, "objectID": "o", "object": "process", "action": "create", "actorID": "a", "pid": -1, "properties": {"image_path": "x"}} | more
 
 
@@ -38,7 +39,7 @@ def test_times_and_addresses(spark):
 
 
 def test_labels(spark, tmp_path):
-    (tmp_path / "l.csv").write_text("hostname,id,objectID,actorID,timestamp,object,action\nh1.lab.example,e1,o,a,2023-11-14T22:13:20.981Z,FILE,read\nh1,e1,o,a,2023-11-14T22:13:22Z,FILE,read\nh2,e2,o,a,2023-11-14T22:13:20.59Z,FILE,read\n")
+    (tmp_path / "l.csv").write_text("hostname,id,objectID,actorID,timestamp,object,action\nh1.systemia.com,e1,o,a,2023-11-14T22:13:20.981Z,FILE,read\nh1,e1,o,a,2023-11-14T22:13:22Z,FILE,read\nh2,e2,o,a,2023-11-14T22:13:20.59Z,FILE,read\n")
     got = records.load_labels(spark, str(tmp_path / "l.csv"))
     assert [(r["event_id"], r["hostname"]) for r in got.collect()] == [("e2", "H2"), ("e1", "H1")]
 
@@ -95,7 +96,7 @@ def test_streaming_equals_batch(spark, sf, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert run(windows.fresh(stream), "f").count() == e.count()
     p = replay.panel(spark, sf)
-    flat = p.select(F.lit("s").alias("stream"), F.col("doc_id").alias("item_id"), "gold", F.array(*[f"vote_{m}" for m in replay.NAMES]).alias("votes"))
+    flat = p.select(F.col("source").alias("stream"), F.col("doc_id").alias("item_id"), "gold", F.array(*[f"vote_{m}" for m in replay.NAMES]).alias("votes"))
     flat.coalesce(1).write.parquet(str(tmp_path / "panel"))
     labels = run(windows.weighted_majority(spark.readStream.schema(flat.schema).parquet(str(tmp_path / "panel")), replay.NAMES, t.LABELS), "m")
     batch = replay.d34_online_majority(spark, sf)
@@ -105,3 +106,32 @@ def test_streaming_equals_batch(spark, sf, tmp_path):
 def test_replays(spark, sf):
     for name, f in replay.QUERIES.items():
         assert f(spark, sf).count() > 0, name
+
+
+def test_labels_that_are_none(spark, tmp_path):
+    head = "action,timestamp,id,hostname,object,actorID,objectID\n"  # any order
+    rows = ["read,2023-11-14T22:13:20.981Z,e1,ws1.systemia.com,file,a,o", "read,2023-11-14T22:13:20.981Z,e1,ws0.systemia.com,file,a,o", "read,yesterday,e2,ws1,file,a,o", "read,,e3,ws1,file,a,o", "read,2023-11-14T22:13:21Z,,ws1,file,a,o", "read,2023-11-14T22:13:21Z,e4,,file,a,o", "read,2023-11-14T22:13:22Z,e5,other,file,a,o", "read,2023-11-14T22:13:30Z,e6,ws1,file,a,o"]
+    (tmp_path / "l.csv").write_text(head + "\n".join(rows) + "\n")
+    want = dict(hosts=["WS0", "WS1"], end_ms=1700000005000)
+    assert [(r["event_id"], r["hostname"]) for r in records.load_labels(spark, str(tmp_path / "l.csv"), **want).collect()] == [("e1", "WS0")]
+    assert records.label_counters(spark, str(tmp_path / "l.csv"), **want).first().asDict() == {"read": 8, "empty_key": 2, "bad_time": 2, "filtered": 2, "repeated": 1, "kept": 1}
+    (tmp_path / "m.csv").write_text("id,hostname\ne1,h\n")
+    with pytest.raises(ValueError, match="timestamp"):
+        records.load_labels(spark, str(tmp_path / "m.csv"))
+
+
+def test_scenarios_and_caches(spark, tmp_path):
+    manifest = {"scenario_id": "s", "utc_offset_minutes": 60, "padding_minutes": 5, "hosts": ["ws1.systemia.com"], "activities": [{"name": "a", "start": "2023-11-14T23:00:00", "end": "2023-11-14T23:30:00", "hosts": None}]}
+    (tmp_path / "m.json").write_text(json.dumps(manifest))
+    (r,) = records.load_scenarios(spark, str(tmp_path / "m.json")).collect()
+    assert (r["start_ms"], r["end_ms"], r["hosts"]) == (1700000000000 - 800_000 - 300_000, 1700000000000 + 1_000_000 + 300_000, ["WS1"])
+
+
+def test_answers_that_are_nested_too_deep():
+    from labelweave.functions import responses as A
+
+    assert A.first_object('x {"a": [1, {"b": 2}]} y') == {"a": [1, {"b": 2}]} and A.depth({"a": [1, {"b": 2}]}) == 3
+    assert A.first_object('{"a":' * 100_000) is None and A.first_object('{"a":' * 100_000 + "1" + "}" * 100_000) is None
+    assert A.first_object('{"a":' * 65 + "1" + "}" * 65) is None and A.depth(A.first_object('{"a":' * 64 + "1" + "}" * 64)) == 64
+    assert A.first_object('{bad} {"label": 1}') == {"label": 1} and A.first_object(None) is None
+    assert A.classification('{"label":' * 5000, ("a",))[3] == "no object"
