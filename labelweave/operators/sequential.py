@@ -113,7 +113,7 @@ class RiskSequence:
             asked.append(m)
             if self.rounds >= self.warm_up and len(asked) >= self.least and 1 - belief.max() <= tolerance:
                 break
-        best = int(belief.argmax())
+        best = int(np.isclose(belief, belief.max(), rtol=1e-9, atol=0).argmax())  # the first of those that are as likely
         label, sure = self.labels[best], float(belief[best])
         for m in asked:
             right = float(votes[m] == label)

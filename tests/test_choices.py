@@ -11,7 +11,7 @@ def test_query_runs(spark, sf, name):
     rows = choices.QUERIES[name](spark, sf).collect()
     assert rows
     if name == "d22_complement_subset":
-        assert sorted(x["rank"] for x in rows) == list(range(1, 27))
+        assert sorted(x["rank"] for x in rows) == list(range(1, 2 ** len(choices.NAMES) - len(choices.NAMES)))  # every subset of two or more
     if name == "d23_reliability_posterior":
         assert all(0 <= x["posterior"] <= 1 for x in rows)
     if name == "d31_stacker":
