@@ -196,16 +196,13 @@ def _tiles(items: DataFrame, percent: int) -> DataFrame:
     # a set links with nothing if it shares fewer of its first ones than the smallest set it may be linked with asks for
     needed = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
     asked = F.greatest(F.lit(1), F.floor(needed / 10)).cast("long")
-    for _ in range(2):  # again, as what is left shares less
-        alive = staged(met.groupBy("id").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")).where(F.col("m") >= asked).select("id", "m"), "ngram-alive")
-        left = met.join(F.broadcast(alive) if alive.count() <= BROADCAST_IDS else alive, "id")
-        count = staged(left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "ngram-count")
-        now = staged(left.drop("m", "c").join(F.broadcast(count) if count.count() <= BROADCAST_IDS // 4 else count, "key"), "ngram-met")
-        discard(met)
-        met = now
+    alive = staged(met.groupBy("id").agg(F.count(F.lit(1)).alias("m"), F.first(asked).alias("asked")).where("m >= asked").select("id"), "ngram-alive")
+    left = met.join(F.broadcast(alive) if alive.count() <= BROADCAST_IDS else alive, "id")
+    count = staged(left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "ngram-count")
+    left = left.join(F.broadcast(count) if count.count() <= BROADCAST_IDS // 4 else count, "key")
     # the rarest of them are enough: all but one less than are asked for
     by = Window.partitionBy("id")
-    ranked = met.withColumns({"m": F.count(F.lit(1)).over(by), "rank": F.row_number().over(by.orderBy("c", "key"))})
+    ranked = left.withColumns({"m": F.count(F.lit(1)).over(by), "rank": F.row_number().over(by.orderBy("c", "key"))})
     ranked = ranked.where((F.col("m") >= asked) & (F.col("rank") <= F.col("m") - asked + 1))
     band = F.floor(F.log(F.col("n")) / F.lit(-math.log(percent / 100) + 1e-9)).cast("long")
     ranked = ranked.withColumn("place", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))))
@@ -243,12 +240,12 @@ def _block_pairs(placed: DataFrame, mixed: DataFrame, sets: DataFrame, percent:
     """(a, b): pairs of a tile in different components, one of them outside the largest, whose sizes and bitmaps allow a link.
 
     best: for each item outside only the likeliest of those in a block.
-    A tile's rows lie in blocks of BLOCK or so; each block of what is outside meets every block of the tile.
+    A tile's rows lie in blocks of BLOCK or so, sorted, so that of equally likely ones the same is taken in every tile; each block of what is outside meets every block of the tile.
     """
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
     rows = placed.join(mixed, "tile").join(sets.select("id", "bits"), "id")
     item = F.struct("id", "n", "root", "own", "bits")
-    packed = lambda x, c, k: x.groupBy("tile", F.pmod(F.xxhash64("id"), blocks(c)).alias(k)).agg(F.collect_list(item).alias(f"{k}s"), F.first("top").alias("top"))
+    packed = lambda x, c, k: x.groupBy("tile", F.pmod(F.xxhash64("id"), blocks(c)).alias(k)).agg(F.sort_array(F.collect_list(item)).alias(f"{k}s"), F.first("top").alias("top"))
     left = staged(packed(rows.where("root <> top"), "outside", "x"), "ngram-outside")
     right = staged(packed(rows, "c", "y").drop("top"), "ngram-blocks")
     met = left.join(right, "tile").select("top", "xs", "ys")
