@@ -77,22 +77,30 @@ def copula_confidence(bounds: np.ndarray, weights: np.ndarray, correlation: np.n
     return float((((z <= cut) * weights).sum(1) > weights.sum() / 2).mean())
 
 
+def majority_confidences(bounds: np.ndarray, weights: np.ndarray, members: np.ndarray) -> list[float]:
+    """majority_confidence of many subsets of one size, a row of members' places each."""
+    right = _outcomes(members.shape[1])
+    b, w = bounds[members][:, None], weights[members][:, None]
+    p = np.where(right, b, 1 - b).prod(2)
+    return [float(x[y].sum()) for x, y in zip(p, (right * w).sum(2) > w.sum(2) / 2)]
+
+
+@lru_cache(maxsize=16)
+def _subsets(n: int, least: int) -> list[np.ndarray]:
+    """The subsets of each size, rows of places."""
+    return [np.array(list(combinations(range(n), size))) for size in range(least, n + 1)]
+
+
 def cheapest_subset(bounds: np.ndarray, weights: np.ndarray, costs: np.ndarray, need: float, least: int, confidence=majority_confidence) -> tuple[tuple[int, ...], float, bool]:
     """Members (by place), confidence, feasible: least (cost, size, members) among subsets that reach `need`; else all."""
-    n = len(bounds)
-    best = None
-    for size in range(least, n + 1):
-        for members in combinations(range(n), size):
-            i = list(members)
-            cost = float(costs[i].sum())
-            if best and (cost, size, members) >= best[0]:
-                continue
-            c = confidence(bounds[i], weights[i])
-            if c >= need:
-                best = ((cost, size, members), c)
-    if best:
-        return best[0][2], best[1], True
-    return tuple(range(n)), confidence(bounds, weights), False
+    found = []
+    for sets in _subsets(len(bounds), least):
+        sure = majority_confidences(bounds, weights, sets) if confidence is majority_confidence else [confidence(bounds[i], weights[i]) for i in sets]
+        found += [(cost, sets.shape[1], k, c, sets) for k, (cost, c) in enumerate(zip(costs[sets].sum(1).tolist(), sure)) if c >= need]
+    if found:
+        _, _, k, c, sets = min(found, key=lambda x: x[:3])
+        return tuple(sets[k].tolist()), c, True
+    return tuple(range(len(bounds))), confidence(bounds, weights), False
 
 
 @dataclass
@@ -154,8 +162,7 @@ class Arm:
 
     def learn(self, x: np.ndarray, prediction: float, agreed: bool) -> None:
         p = self.inverse @ x
-        self.inverse -= np.outer(p, p) / (1 + float(x @ p))
-        self.inverse = (self.inverse + self.inverse.T) / 2
+        self.inverse -= np.outer(p, p) / (1 + float(x @ p))  # stays symmetric to the last bit, as the outer product is
         self.b += float(agreed) * x
         (self.match if agreed else self.mismatch).add(min(1 - 1e-6, max(1e-6, prediction)))
         self.seen += 1
