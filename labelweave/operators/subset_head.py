@@ -209,15 +209,11 @@ class SubsetHead:
     def choose(self, bounds: dict[str, float], weights: dict[str, float], costs: dict[str, float], prior: np.ndarray, used: int, need: float, least: int = 1) -> tuple[list[str], float, bool]:
         """The cheapest subset (then the smallest, then by name) that is confident enough; all models if none is."""
         names = sorted(self.models)
-        found = []
-        for size in range(least, len(names) + 1):
-            for subset in combinations(names, size):
-                c = self.confidence(list(subset), bounds, weights, prior, used)
-                if c >= need:
-                    found.append((sum(costs[m] for m in subset), size, subset, c))
-        if found:
-            best = min(found)
-            return list(best[2]), best[3], True
+        every = (m for size in range(least, len(names) + 1) for m in combinations(names, size))
+        for _, _, subset in sorted((sum(costs[m] for m in m_), len(m_), m_) for m_ in every):
+            c = self.confidence(list(subset), bounds, weights, prior, used)
+            if c >= need:  # the first in this order is the least
+                return list(subset), c, True
         return names, self.confidence(names, bounds, weights, prior, used), False
 
     def record(self, node: str, parents: list[Edge], rewards: dict[str, float], label: str, audited: bool, votes: dict[str, str] | None = None) -> None:
