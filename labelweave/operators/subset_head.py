@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import OrderedDict
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -61,6 +62,12 @@ class Counts:
         return parent @ (t / t.sum(1, keepdims=True))
 
 
+@lru_cache(maxsize=64)
+def grid(k: int, size: int) -> np.ndarray:
+    """Every outcome of `size` votes for k labels, a row each."""
+    return np.stack(np.meshgrid(*[np.arange(k)] * size, indexing="ij"), -1).reshape(-1, size)
+
+
 def likeliest(weights: np.ndarray) -> np.ndarray:
     """Of each row the first place that is as high as the highest, within a relative 1e-9."""
     top = weights.max(-1, keepdims=True)
@@ -161,9 +168,9 @@ class SubsetHead:
     def votes(self, outcomes: np.ndarray, weights: np.ndarray, subset: list[str], prior: np.ndarray, used: int) -> np.ndarray:
         """The label of each outcome - a row of the subset's votes - as its place."""
         s, k = self.settings, len(self.labels)
-        plain = np.zeros((len(outcomes), k))
+        plain, rows = np.zeros((len(outcomes), k)), np.arange(len(outcomes))
         for j in range(len(subset)):
-            np.add.at(plain, (np.arange(len(outcomes)), outcomes[:, j]), weights[j])
+            plain[rows, outcomes[:, j]] += weights[j]
         if not s.calibrated:
             if used and s.prior_power > 0:
                 sure = 1 + float((prior * np.log(np.maximum(prior, 1e-12))).sum()) / math.log(k)
@@ -173,7 +180,7 @@ class SubsetHead:
         mean = max(1e-12, float(weights.mean()))
         for j, m in enumerate(subset):
             c = self.confusion[m] / self.confusion[m].sum(1, keepdims=True)
-            x += s.temperature * weights[j] / mean * np.log(np.maximum(c[:, outcomes[:, j]].T, 1e-12))
+            x += (s.temperature * weights[j] / mean * np.log(np.maximum(c.T, 1e-12)))[outcomes[:, j]]
         p = np.exp(x - x.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         return likeliest((1 - s.blend) * plain / max(weights.sum(), 1e-12) + s.blend * p)
@@ -181,9 +188,8 @@ class SubsetHead:
     def confidence(self, subset: list[str], bounds: dict[str, float], weights: dict[str, float], prior: np.ndarray, used: int) -> float:
         """Probability that the subset's vote is right: the sum over the true label and every outcome of the votes."""
         k, w = len(self.labels), np.array([weights[m] for m in subset])
-        grid = lambda n: np.stack(np.meshgrid(*[np.arange(n)] * len(subset), indexing="ij"), -1).reshape(-1, len(subset))
         if self.settings.calibrated and k ** len(subset) <= MOST_OUTCOMES:
-            outcomes = grid(k)
+            outcomes = grid(k, len(subset))
             label = self.votes(outcomes, w, subset, prior, used)
             total = 0.0
             for t in range(k):
@@ -192,7 +198,7 @@ class SubsetHead:
                     p = p * (self.confusion[m][t] / self.confusion[m][t].sum())[outcomes[:, j]]
                 total += float(p[label == t].sum())
             return min(1.0, max(0.0, total))
-        right = grid(2)
+        right = grid(2, len(subset))
         a = np.array([bounds[m] for m in subset])
         p = np.where(right == 1, a, 1 - a).prod(1)
         if k != 2:
