@@ -101,6 +101,12 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.table({"pivot": pa.array([one("pivot")], pa.int32()), "ring": pa.array([one("ring")], pa.int32()), "near": [float(d.min())], "far": [float(d.max())], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([b"".join(table.column("v").to_pylist())], pa.binary())})
 
 
+def fit_sample(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """Of n distinct rows (vec_id, v) about twice as many as `most`, by a hash: tasks send no more than these to the driver, however many tasks there are."""
+    share = min(1.0, 2 * most / n)
+    return rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40)) < int(share * (1 << 40))).select("vec_id", "v")
+
+
 def top_k(
     df: DataFrame,
     is_query: Column,
@@ -129,7 +135,8 @@ def top_k(
     out_type = "query_id long, rank int, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], out_type)
-    sample = _lengthened([r[0] for r in rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(fit_rows, n)).collect()], dim)
+    found = fit_sample(rows, n, fit_rows).orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(fit_rows, n)).select("v").collect()
+    sample = _lengthened([r[0] for r in found or rows.select("v").limit(1).collect()], dim)
     # pivots far from one another: each next is the farthest of the sample from those before
     lifted = _lifted(sample, top)
     chosen, gap = [0], np.full(len(sample), np.inf)
@@ -193,7 +200,8 @@ def top_k(
         visits = open_queries.mapInPandas(plan(done, many), "query_id long, v array<long>, pivot int, ring int")
         # queries of a ring in blocks: a block of vectors meets a block of queries, not one query at a time
         visits = visits.groupBy("pivot", "ring", F.pmod(F.xxhash64("query_id"), query_parts).alias("part")).agg(F.collect_list("query_id").alias("q_ids"), F.collect_list("v").alias("q"))
-        scored = blocks.join(visits, ["pivot", "ring"]).select("q_ids", "q", "ids", "vectors").mapInArrow(score, "query_id long, vec_id long, score long")
+        # neither side goes through the driver, as either may look small to the planner in its packed form
+        scored = blocks.join(visits.hint("merge"), ["pivot", "ring"]).select("q_ids", "q", "ids", "vectors").mapInArrow(score, "query_id long, vec_id long, score long")
         every = scored if best is None else scored.unionByName(best)
         ranked = every.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("vec_id")))), 1, k).alias("top"))
         best = staged(ranked.select("query_id", F.inline("top")).select("query_id", "vec_id", (-F.col("s")).alias("score")), "best")
